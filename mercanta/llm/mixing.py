@@ -30,8 +30,10 @@ def _lanes(tokens: np.ndarray, p: np.ndarray, lanes: int, rng: np.random.Generat
     """One flight in parallel lanes: p with at most two open entries a lane. Totals of p and of p x tokens stay."""
     p = p.copy()
     n = len(p)
-    queue = np.arange(n)
-    bounds = np.linspace(0, n, lanes + 1).astype(int)
+    # large documents first in every lane: what stays open at the end is small
+    order = np.argsort(-tokens, kind="stable")
+    queue = np.concatenate([order[i::lanes] for i in range(lanes)])
+    bounds = np.cumsum([0, *(len(order[i::lanes]) for i in range(lanes))])
     at, end = bounds[:-1] + 3, bounds[1:]
     slot = bounds[:-1][:, None] + np.arange(3)[None, :]
     live = (end - bounds[:-1]) >= 3

@@ -3,7 +3,7 @@
 Harmonic packing: an item of size in (C/(k+1), C/k] is of class k, and a bin of class k takes k of them,
 whatever they measure. Each worker fills its own bins, without a shuffle. Space left in a bin takes items
 of the first class that fits by its bound, again by class alone. Items in bins that a worker couldn't
-complete, at most K(K+1)/2 a worker and container, are pooled for several workers and packed best-fit.
+complete, at most one a class and container, are pooled for several workers and packed best-fit.
 """
 
 from __future__ import annotations
@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 from mercanta.llm.tokens import token_counts
 from mercanta.runtime import written
 
-CLASSES = 48
+#: A class for every LEAST_PIECE tokens of capacity; items smaller than that bound are filled in one after another.
+LEAST_PIECE = 32
 ROUNDS = 8
 POOLED_WORKERS = 32
 _OUT = "container_name string, capacity bigint, worker bigint, bin bigint, doc_id bigint, piece int, tokens bigint, loose boolean"
 
 
-def harmonic(sizes: np.ndarray, capacity: int, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+def harmonic(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin of each item (sizes from 1 to capacity) and whether its bin is left for pooling."""
     n = len(sizes)
+    classes = max(8, capacity // LEAST_PIECE)
     bins = np.full(n, -1, dtype=np.int64)
     loose = np.zeros(n, dtype=bool)
     kind = np.minimum(capacity // np.maximum(sizes, 1), classes)
@@ -38,6 +40,16 @@ def harmonic(sizes: np.ndarray, capacity: int, classes: int = CLASSES) -> tuple[
     made = 0
     for k in range(1, classes + 1):
         items = queues[k][at[k] :]
+        if k == classes:  # the smallest: their bound says little, so their bins fill up by size
+            reach = np.cumsum(sizes[items])
+            start, done = 0, 0
+            while start < len(items):
+                stop = int(np.searchsorted(reach, done + capacity, "right"))
+                bins[items[start:stop]] = made
+                loose[items[start:stop]] = stop == len(items)
+                made += 1
+                start, done = stop, int(reach[stop - 1])
+            break
         whole = len(items) // k
         if whole:
             members = items[: whole * k].reshape(whole, k)
