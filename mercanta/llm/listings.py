@@ -43,7 +43,7 @@ cinza compre dados desconto desktop disco eletrica entrega envio estoque exclusi
 headset headphone hoje imediata imediato interno lacrado lampada lancamento layout limitada linha memoria mecanico meses melhor metros microfone mouse multiplicador
 nota novo oferta optico original padrao palito parede parts patrocinado pecas pente pequena pilha pilhas pink portas portatil ports power preco preta preto premium profissional promo promocao pronta
 qualidade queima regua rosa sata super teclado tech tera tomadas turbo unidades verde vermelha vermelho video volts watts webcam white wireless usada usado anuncio importado nacional relampago imperdivel""".split()
-UNITS_AFTER = r"(?:dpi|m?ah|mhz|ghz|mm|cm|mts?|metros?|m|k|w|v|gb|tb|un|pcs?|pecas?|lumens?)\b"
+UNITS_AFTER = r"(?:dpi|m?ah|mhz|ghz|mm|cm|mts?|metros?|m(?!\.)|k|w|v|gb|tb|un|pcs?|pecas?|lumens?)\b"
 CODE = rf"\b([a-z]{{2}})[ /-]?(\d{{5}})\b(?![.,]?\d| ?(?:{UNITS_AFTER}))"
 
 
@@ -163,7 +163,10 @@ def model_names(rows: DataFrame) -> DataFrame:
     centres = linked.select("kind", F.col("line").alias("c_line"), F.col("brand").alias("c_brand"), F.col("n").alias("c_n"), "code", F.coalesce("code", F.concat_ws(":", "kind", "line")).alias("c_model"))
     centres = centres.withColumn("s", F.explode(_shortened(F.col("c_line"))))
     slips = open_names.join(centres, ["kind", "s"]).where((F.col("line") != F.col("c_line")) & ~_clash(F.col("brand"), F.col("c_brand")) & (F.levenshtein("line", "c_line") <= 2) & (F.col("code").isNotNull() | (F.col("c_n") > F.col("n")) | ((F.col("c_n") == F.col("n")) & (F.col("c_line") < F.col("line")))))
-    one = slips.groupBy("kind", "line").agg(F.min("c_model").alias("slip"), F.max("c_model").alias("other")).where("slip = other").drop("other")
+    coded_model, open_model = F.when(F.col("code").isNotNull(), F.col("c_model")), F.when(F.col("code").isNull(), F.col("c_model"))
+    near = slips.groupBy("kind", "line").agg(F.min(coded_model).alias("c1"), F.max(coded_model).alias("c2"), F.min(open_model).alias("o1"), F.max(open_model).alias("o2"))
+    # two part numbers forbid the link; other names without a number are at most slips of the same name themselves
+    one = near.select("kind", "line", F.when(F.col("c1") == F.col("c2"), F.col("c1")).when(F.col("c1").isNull() & (F.col("o1") == F.col("o2")), F.col("o1")).alias("slip"))
     return linked.join(one, ["kind", "line"], "left").select("kind", "line", "brand", F.coalesce("code", "slip", own).alias("model"))
 
 
