@@ -61,15 +61,25 @@ def counted_values(df: DataFrame, source: Column, load: Column, checks: Sequence
     counted = flat.groupBy(*KEYS, "num", "txt", "plausible", "well_formed").agg(F.count("*").alias("n_rows"))
     some = F.col("num").isNotNull() | F.col("txt").isNotNull()
     return counted.select(
-        *KEYS, "num", "txt", "n_rows",
+        *KEYS, "num", "txt", "plausible", "well_formed", "n_rows",
         F.when(some, F.col("n_rows")).otherwise(F.lit(0)).alias("n"),
         F.when(some & F.col("plausible"), F.col("n_rows")).otherwise(F.lit(0)).alias("n_ok"),
-        F.when(some & ~F.col("plausible"), F.col("n_rows")).otherwise(F.lit(0)).alias("n_outside"),
         F.when(some & ~F.col("well_formed"), F.col("n_rows")).otherwise(F.lit(0)).alias("n_malformed"),
         F.when(some, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_distinct"),
     )
 
 
+def text_ranges(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]) -> DataFrame:
+    """(source, load, column_name, min_text, max_text) of the text columns: one partial aggregate over the rows themselves."""
+    texts = [c for c in checks if not c.numeric]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "source string, load string, column_name string, min_text string, max_text string")
+    kept = [(c.value if c.rows is None else F.when(c.rows, c.value)).cast("string") for c in texts]
+    ends = df.groupBy(source.cast("string").alias("source"), load.cast("string").alias("load")).agg(*(f(v).alias(f"{p}{i}") for i, v in enumerate(kept) for p, f in (("a", F.min), ("b", F.max))))
+    each = F.explode(F.array(*(F.struct(F.lit(c.name).alias("column_name"), F.col(f"a{i}").alias("min_text"), F.col(f"b{i}").alias("max_text")) for i, c in enumerate(texts))))
+    return ends.select("source", "load", each.alias("e")).select("source", "load", "e.*")
+
+
 def profile(df: DataFrame, source: Column, load: Column, checks: Sequence[Check], distances: bool = True) -> DataFrame:
     """One row per source, load and column.
 
@@ -83,15 +93,13 @@ def profile(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]
     counted before the shuffle and ranges of them are sorted, never a whole load in one task.
     """
     cells = counted_values(df, source, load, checks)
-    ranked = range_ranks(cells, ["column_name", "source", "load"], ["num", "txt"], ["n", "n_ok", "n_distinct"])
+    per_load = (["column_name", "source", "load"], ["num", "txt"], ["n", "n_ok", "n_distinct"])
     if distances:
-        pooled = cells.where("n > 0").groupBy("source", "column_name", "num", "txt").agg(F.sum("n").alias("w"))
-        curve = range_ranks(pooled, ["column_name", "source"], ["num", "txt"], ["w"])
-        r, p = ranked.alias("r"), curve.alias("p")
-        same = F.lit(True)
-        for c in ("source", "column_name", "num", "txt"):
-            same &= F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
-        ranked = r.join(p, same, "left").select("r.*", "p.w", "p.cum_w", "p.all_w")
+        # one sort by source and value puts the pooled curve beside every load's own values
+        pooled = range_ranks(cells, ["column_name", "source"], ["num", "txt"], ["n"], ties=["load", "plausible", "well_formed"])
+        # a value's place in the pooled curve stands for it from here on: it sorts alike and is short
+        pooled = pooled.withColumnsRenamed({"cum_n": "cum_w", "all_n": "all_w", "at_n": "w"}).drop("txt", "plausible", "well_formed")
+        ranked = range_ranks(pooled, per_load[0], ["cum_w"], per_load[2])
         others = F.col("all_w") - F.col("all_n")
 
         def gap(mine: Column, pooled_count: Column) -> Column:
@@ -100,16 +108,18 @@ def profile(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]
         at, under = gap(F.col("cum_n"), F.col("cum_w")), gap(F.col("cum_n") - F.col("n"), F.col("cum_w") - F.col("w"))
         ranked = ranked.withColumn("gap", F.when((F.col("n") > 0) & (others > 0), F.greatest(at, under)))
     else:
-        ranked = ranked.withColumn("gap", F.lit(None).cast("double"))
+        ranked = range_ranks(cells, *per_load).withColumn("gap", F.lit(None).cast("double"))
     some = F.col("n") > 0
     loads = ranked.groupBy(*KEYS).agg(
         F.sum("n_rows").alias("rows"), F.sum(F.col("n_rows") - F.col("n")).alias("nulls"), F.sum("n").alias("values"), F.max("all_n_distinct").alias("distinct"),
-        F.min("num").alias("min_number"), F.max("num").alias("max_number"), F.min("txt").alias("min_text"), F.max("txt").alias("max_text"),
-        F.sum("n_outside").alias("outside"), F.sum("n_malformed").alias("malformed"), F.sum("n_ok").alias("in_range"),
+        F.min("num").alias("min_number"), F.max("num").alias("max_number"),
+        F.sum(F.col("n") - F.col("n_ok")).alias("outside"), F.sum("n_malformed").alias("malformed"), F.sum("n_ok").alias("in_range"),
         quantile_of("num", "n_ok", 0.25).alias("q25"), median_of("num", "n_ok").alias("median"), quantile_of("num", "n_ok", 0.75).alias("q75"),
         F.max(F.when(some, F.col("gap"))).alias("ks_distance"), F.sum(F.when(some, F.col("num") * F.col("n"))).alias("total"),
     )
     loads = loads.withColumn("null_share", F.col("nulls") / F.col("rows")).withColumn("mean", F.try_divide(F.col("total"), F.col("values"))).withColumn("malformed_share", F.try_divide(F.col("malformed"), F.col("values"))).withColumn("outside_share", F.try_divide(F.col("outside"), F.col("values"))).drop("total")
+    k, t = loads.alias("k"), text_ranges(df, source, load, checks).alias("t")
+    loads = k.join(t, F.col("k.source").eqNullSafe(F.col("t.source")) & F.col("k.load").eqNullSafe(F.col("t.load")) & (F.col("k.column_name") == F.col("t.column_name")), "left").select("k.*", "t.min_text", "t.max_text")
     loads = written(loads, "loads")
     metrics = ["null_share", "median", "mean", "malformed_share"]
     long = loads.select("source", "column_name", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("m")).select("source", "column_name", "m.*")

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,63 +23,97 @@ from mercanta.runtime import written
 
 def group_starts(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
     """True at each row whose ``columns`` differ from the row before. NULL equals NULL."""
-    starts = np.zeros(table.num_rows, dtype=bool)
-    if table.num_rows:
+    n = table.num_rows
+    starts = np.zeros(n, dtype=bool)
+    if n:
         starts[0] = True
-    for name in columns:
+    for name in columns if n > 1 else ():
         column = table.column(name).combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
-        codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        starts[1:] |= codes[1:] != codes[:-1]
+        here, last = column.slice(1), column.slice(0, n - 1)
+        differs = pc.fill_null(pc.not_equal(here, last), False)
+        if column.null_count:
+            differs = pc.or_(differs, pc.xor(pc.is_null(here), pc.is_null(last)))
+        starts[1:] |= differs.to_numpy(zero_copy_only=False)
     return starts
 
 
-def range_ranks(df: DataFrame, groups: Sequence[str], order: Sequence[str], weights: Sequence[str]) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    batches = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(batches).combine_chunks() if batches else None
+
+
+def range_ranks(df: DataFrame, groups: Sequence[str], order: Sequence[str], weights: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<w>`` (weight up to and with this row) and ``all_<w>`` (of the group) for each weight.
 
-    ``df`` must be unique by groups and order columns (aggregate first: that also keeps equal values
-    from piling up in one partition). Weights are whole numbers, NULL counts 0. NULL group values are
-    a group; NULL order values come first. An empty table gives an empty table.
+    ``df`` must be unique by groups, order and ties (aggregate first: that also keeps equal values from
+    piling up in one partition). With ``ties``, rows that differ only there are one value: ``cum_<w>`` then
+    goes up to the end of the value, and ``at_<w>`` is the weight of the value. Weights are whole numbers,
+    NULL counts 0. NULL group values are a group; NULL order values come first. An empty table gives an
+    empty table.
     """
-    groups, order, weights = list(groups), list(order), list(weights)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(f"{p}_{w}", T.LongType()) for w in weights for p in ("cum", "all")), T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.BooleanType())])
+    groups, order, weights, ties = list(groups), list(order), list(weights), list(ties)
+    added = ["cum", "all", *(["at"] if ties else [])]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f"{p}_{w}", T.LongType()) for w in weights for p in added), T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.BooleanType()), T.StructField("_open", T.BooleanType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        table = _whole(batches)
+        if table is None:
             return
-        table = pa.Table.from_batches(batches).combine_chunks()
         starts = group_starts(table, groups)
         number = np.cumsum(starts) - 1
         first = np.flatnonzero(starts)
         last = np.append(first[1:], table.num_rows) - 1
+        if ties:
+            run_starts = starts | group_starts(table, order)
+            run = np.cumsum(run_starts) - 1
+            run_first = np.flatnonzero(run_starts)
+            run_last = np.append(run_first[1:], table.num_rows) - 1
         for w in weights:
             x = table.column(w).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             total = np.cumsum(x)
             before = (total - x)[first]
-            table = table.append_column(f"cum_{w}", pa.array(total - before[number]))
+            upto = total[run_last][run] if ties else total
+            table = table.append_column(f"cum_{w}", pa.array(upto - before[number]))
             table = table.append_column(f"all_{w}", pa.array((total[last] - before)[number]))
+            if ties:
+                table = table.append_column(f"at_{w}", pa.array((total[run_last] - (total - x)[run_first])[run]))
         table = table.append_column("_part", pa.array(np.full(table.num_rows, TaskContext.get().partitionId(), dtype=np.int32)))
         table = table.append_column("_edge", pa.array((number == 0) | (number == number[-1])))
+        table = table.append_column("_open", pa.array((run == 0) | (run == run[-1]) if ties else np.zeros(table.num_rows, dtype=bool)))
         yield from table.to_batches(max_chunksize=20_000)
 
-    columns = [*groups, *order]
+    columns = [*groups, *order, *ties]
+    # groups may come in any order: their hash in front settles most comparisons of the sort
+    columns = [F.xxhash64(*groups), *columns] if groups else columns
     local = written(df.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(count, schema), "ranks")
     edges = local.where("_edge").groupBy(*groups, "_part").agg(*(F.max(f"all_{w}").alias(f"all_{w}") for w in weights))
     of_group = Window.partitionBy(*groups)
     before = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(*groups, "_part", F.count("*").over(of_group).alias("_n"), *(F.coalesce(F.sum(f"all_{w}").over(before), F.lit(0)).alias(f"off_{w}") for w in weights), *(F.sum(f"all_{w}").over(of_group).alias(f"tot_{w}") for w in weights)).where("_n > 1")
-    small = F.broadcast(edges).alias("e")  # two rows a partition at most
-    here = local.alias("l")
-    same = F.col("l._part") == F.col("e._part")
-    for name in groups:
-        same &= F.col(f"l.{name}").eqNullSafe(F.col(f"e.{name}"))
+
+    def same(other: str, names: Sequence[str]) -> Column:
+        condition = F.col("l._part") == F.col(f"{other}._part")
+        for name in names:
+            condition &= F.col(f"l.{name}").eqNullSafe(F.col(f"{other}.{name}"))
+        return condition
+
+    # two rows a partition at most
+    joined = local.alias("l").join(F.broadcast(edges).alias("e"), same("e", groups), "left")
+    later = {w: F.lit(0) for w in weights}
+    if ties:
+        of_run = Window.partitionBy(*groups, *order)
+        after = of_run.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+        runs = local.where("_open").groupBy(*groups, *order, "_part").agg(*(F.max(f"at_{w}").alias(f"at_{w}") for w in weights))
+        runs = runs.select(*groups, *order, "_part", F.count("*").over(of_run).alias("_n"), *(F.coalesce(F.sum(f"at_{w}").over(after), F.lit(0)).alias(f"later_{w}") for w in weights), *(F.sum(f"at_{w}").over(of_run).alias(f"run_{w}") for w in weights)).where("_n > 1")
+        joined = joined.join(F.broadcast(runs).alias("r"), same("r", [*groups, *order]), "left")
+        later = {w: F.coalesce(F.col(f"r.later_{w}"), F.lit(0)) for w in weights}
     sums = []
     for w in weights:
-        sums.append((F.col(f"l.cum_{w}") + F.coalesce(F.col(f"e.off_{w}"), F.lit(0))).alias(f"cum_{w}"))
+        sums.append((F.col(f"l.cum_{w}") + F.coalesce(F.col(f"e.off_{w}"), F.lit(0)) + later[w]).alias(f"cum_{w}"))
         sums.append(F.coalesce(F.col(f"e.tot_{w}"), F.col(f"l.all_{w}")).alias(f"all_{w}"))
-    return here.join(small, same, "left").select(*(f"l.{c}" for c in df.columns), *sums)
+        if ties:
+            sums.append(F.coalesce(F.col(f"r.run_{w}"), F.col(f"l.at_{w}")).alias(f"at_{w}"))
+    return joined.select(*(f"l.{c}" for c in df.columns), *sums)
 
 
 def at_rank(value: Column, weight: Column, cum: Column, rank: Column) -> Column:
