@@ -9,12 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mercanta.functions import attributes, numbers, text
-from mercanta.operators import matching, relational, warehouse
+from mercanta.operators import matching, ml, relational, warehouse
+from mercanta.runtime import table, written
 from mercanta.sources import readers, sinks
-from mercanta.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -677,3 +676,26 @@ def R05_quality_checks(spark, root):
     """The quality check of each load, counted by outcome."""
     outcome = F.when(F.col("status") == "failed", "failed").when(F.col("records_loaded") > 0, "passed").otherwise("warning")
     return table(spark, root, LOADS).groupBy("source_name", (F.col("records_loaded") > 0).alias("any_loaded"), outcome.alias("outcome")).agg(F.count("*").alias("loads"))
+
+
+# --- classifier ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CASE recommendation WHEN 'comprar_teste' THEN 2 WHEN 'revisar' THEN 1 ELSE 0 END AS class, count(*) AS n_rows FROM decision_opportunity_snapshots GROUP BY 1""")
+def L01_class_counts(spark, root):
+    """Labels and classes of all snapshots."""
+    return ml.class_counts(ml.feature_rows(table(spark, root, SNAPSHOTS)))
+
+
+@query("""SELECT id, coalesce(CAST(supplier_price AS DOUBLE), 0) AS supplier_price, coalesce(CAST(net_margin_pct AS DOUBLE), 0) AS net_margin_pct, CAST(coalesce(len(risk_flags), 0) AS DOUBLE) AS risk_flag_count, CAST(coalesce(estimated_market_price, 0) > 0 AS DOUBLE) AS has_market_price,
+ CAST(coalesce(market_source_count, 0) >= 2 AS DOUBLE) AS has_multiple_market_sources FROM decision_opportunity_snapshots""")
+def P13_features(spark, root):
+    """Features of all snapshots."""
+    return ml.feature_rows(table(spark, root, SNAPSHOTS)).select("id", "supplier_price", "net_margin_pct", "risk_flag_count", "has_market_price", "has_multiple_market_sources")
+
+
+@query()
+def L04_out_of_fold(spark, root):
+    """Out-of-fold scores of the latest opportunities by logistic regression."""
+    rows = written(ml.with_folds(ml.latest_feature_rows(table(spark, root, SNAPSHOTS)), 3), "features")
+    return ml.out_of_fold(rows, ml.candidates()["logistic_regression"], 3)
