@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercanta.functions import attributes, text
 from mercanta.operators.relational import top_per_key
@@ -60,7 +61,7 @@ def _score(p: str, e: str, ratio: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(F.round(F.least(F.lit(100.0), 100 * base * factor), 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two texts; the JVM has no equal of it."""
     for left, right in pairs:
