@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercanta.llm.tokens import token_counts
-from mercanta.runtime import bounded_broadcast, written
+from mercanta.runtime import bounded_broadcast, small_rows, written
 
 _OUT = "mixture_name string, source string, doc_id bigint, tokens bigint, base int, p double"
 _EPS = 1e-9
@@ -105,12 +105,12 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFr
 
     Documents without tokens, without source or of a source that no mixture names are never chosen. Repeated
     rows are documents of their own. Draws depend on the seed and on the partition, so a retry draws alike.
-    The plan has one row per target and is broadcast after a count.
+    The plan has one row per target and goes to the workers with the task.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     counts = written(token_counts(docs, "text", ["doc_id", "source"]), "tokens")
     planned = written(plan(counts, targets), "plan")
-    rows = [r.asDict() for r in planned.where("copies > 0").select("mixture_name", "source", "copies").limit(10_000).collect()]
+    rows = [r.asDict() for r in small_rows(planned.where("copies > 0").select("mixture_name", "source", "copies"), 10_000)]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)

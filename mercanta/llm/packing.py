@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercanta.llm.tokens import token_counts
-from mercanta.runtime import written
+from mercanta.runtime import small_rows, written
 
 #: A class for every LEAST_PIECE tokens of capacity; items smaller than that bound are filled in one after another.
 LEAST_PIECE = 32
@@ -118,7 +118,7 @@ def pack(documents: DataFrame, containers: DataFrame, tokenizer: str | None = No
     with bin_id NULL. Repeated rows are items of their own. No document is cut unless it is longer than the
     container. Workers are the partitions of the written token table, so a retry makes the same bins.
     """
-    sizes = [(r[0], int(r[1])) for r in containers.select("container_name", "capacity_tokens").where("capacity_tokens >= 1").limit(1000).collect()]
+    sizes = [(r[0], int(r[1])) for r in small_rows(containers.select("container_name", "capacity_tokens").where("capacity_tokens >= 1"), 1000)]
     counts = written(token_counts(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "text", ["doc_id"]), "tokens")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
