@@ -58,3 +58,11 @@ def bounded_broadcast(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def small_rows(df: DataFrame, most: int) -> list:
+    """The rows of a table that is small by its nature; more rows than that are an error, never a silent cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows was expected")
+    return rows

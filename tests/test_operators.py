@@ -32,7 +32,7 @@ def test_matches_against_brute_force(spark):
     make = lambda r: matching.described(spark.createDataFrame(r, "id string, t string, price double"), "id", "t", "price")
     products, evidence = make(left), make(right)
     got = {(r.p_key, r.e_key): r.score for r in matching.matches(products, evidence).collect()}
-    pairs = products.alias("p").crossJoin(evidence.alias("e")).select("p", "e", matching.text_ratio("p.norm", "e.norm").alias("ratio"))
+    pairs = products.alias("p").crossJoin(evidence.alias("e")).select(F.struct("p.*").alias("p"), F.struct("e.*").alias("e"), matching.text_ratio("p.norm", "e.norm").alias("ratio"))
     want = {(r.a, r.b): r.s for r in pairs.select(F.col("p.key").alias("a"), F.col("e.key").alias("b"), matching._score("p", "e", F.col("ratio")).alias("s")).collect() if r.s >= matching.LEAST_SCORE}
     assert got == want and got
     one = spark.createDataFrame([("abc def", "abd def")], "a string, b string").select(matching.text_ratio("a", "b").alias("r")).first().r
