@@ -145,3 +145,10 @@ def normalized(text: Column) -> Column:
     """Lower case without accents, all but letters and digits as single spaces; damage is left as it is. NULL gives empty text."""
     plain = F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED, FOLDED))
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def redecoded(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1 read again, accents kept; texts that don't come out whole stay as they are."""
+    again = F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string"))
+    marked = text.rlike("[ÃÂâ]") & text.rlike(r"^[\x{00}-\x{FF}]*$")
+    return F.when(marked & (F.length(again) >= F.greatest(F.lit(3), F.floor(F.length(text) / 2))), again).otherwise(text)

@@ -87,3 +87,9 @@ def price_levels(matched: DataFrame, share: float = 0.35, least: float = 58.0, m
     """Interpolated percentile of the prices of each product's best qualified matches, with count and dispersion."""
     used = matched.where((F.col("score") >= least) & (F.col("rank") <= most))
     return used.groupBy("p_key").agg(F.round(F.percentile("price", F.lit(share)), 2).alias("level"), F.count("*").alias("prices"), F.round(F.try_divide(F.stddev_pop("price"), F.median("price")), 4).alias("dispersion"))
+
+
+def match_details(matched: DataFrame, most: int = 12) -> DataFrame:
+    """(p_key, details): the best matches of each product as JSON, in order of rank. Lists hold ``most`` rows at most."""
+    kept = matched.where(F.col("rank") <= most).groupBy("p_key").agg(F.array_sort(F.collect_list(F.struct("rank", "e_key", "score", "price"))).alias("m"))
+    return kept.select("p_key", F.to_json("m").alias("details"))

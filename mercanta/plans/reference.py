@@ -472,6 +472,12 @@ def H01_spaces(spark, root):
     return table(spark, root, LISTINGS).select("id", text.spaces(F.col("title")).alias("title"))
 
 
+@query()
+def H08_redecoded(spark, root):
+    """Titles with their encoding damage undone; tested on fixtures."""
+    return table(spark, root, LISTINGS).select("id", text.redecoded(F.col("title")).alias("title"))
+
+
 @query(f"SELECT id, {_NORM.format(c='title')} AS title FROM market_web_listings_raw")
 def H02_normalized(spark, root):
     return table(spark, root, LISTINGS).select("id", text.normalized(F.col("title")).alias("title"))
@@ -555,6 +561,12 @@ def H42_attributes(spark, root):
     return rows.select("id", F.when(is_list, F.get_json_object(brand, "$.value_name")).alias("brand"), F.when(F.schema_of_variant(pictures).startswith("ARRAY"), F.get_json_object("payload", "$.pictures[0].url")).alias("first_picture"))
 
 
+@query("SELECT id, coalesce(CAST(epoch_us(coalesce(fetched_at, created_at)) AS VARCHAR), '') AS fetched FROM market_web_listings_raw")
+def H33_timestamp_fallback(spark, root):
+    """The time of a row, or of its creation, or empty text."""
+    return table(spark, root, LISTINGS).select("id", F.coalesce(F.unix_micros(F.coalesce("fetched_at", "created_at")).cast("string"), F.lit("")).alias("fetched"))
+
+
 @query("SELECT DISTINCT query, replace('https://loja.example/busca?q={query}', '{query}', replace(url_encode(query), '%20', '+')) AS url FROM market_web_listings_raw WHERE query IS NOT NULL")
 def H34_search_urls(spark, root):
     return table(spark, root, LISTINGS).where("query IS NOT NULL").select("query").distinct().select("query", numbers.search_url("https://loja.example/busca?q={query}", F.col("query")).alias("url"))
@@ -630,6 +642,12 @@ def G04_price_levels(spark, root):
     return matching.price_levels(matching.matches(*_sides(spark, root)))
 
 
+@query()
+def P12_match_details(spark, root):
+    """The best twelve matches of each product as JSON."""
+    return matching.match_details(matching.matches(*_sides(spark, root)))
+
+
 # --- sinks and reports -----------------------------------------------------------------------------------------
 
 

@@ -265,3 +265,11 @@ def item_fields(payload: Column) -> Column:
         first("$.id", "$.item_id").alias("external_id"), first("$.title", "$.name", "$.catalog_product_name").alias("title"), first("$.price", "$.buy_box_winner.price").try_cast("decimal(12,2)").alias("price"),
         first("$.currency_id").alias("currency_id"), first("$.seller.id", "$.seller_id").alias("seller_id"), first("$.permalink").alias("permalink"), first("$.category_id").alias("category_id"),
     )
+
+
+def missing_tables(spark: SparkSession, root: str, required: list[str]) -> list[str]:
+    """Required tables that the data folder lacks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    there = {f.getPath().getName().removesuffix(".parquet") for f in files}
+    return sorted(set(required) - there)

@@ -24,6 +24,7 @@ def _apply(spark, f, values):
         (lambda c: numbers.json_int(c, "sold"), {'{"sold": 12}': 12, '{"sold":null}': None, "": None, None: None}),
         (text.spaces, {" a\xa0 b\n": "a b", "": "", None: None}),
         (text.fold, {"CÃ¢mera PreÃ§o Nº": "camera preco nº", "Ação": "acao", "café": "cafe", None: None}),
+        (text.redecoded, {"CÃ¢mera nÂº 1": "Câmera nº 1", "SÃ£o 5€": "SÃ£o 5€", "Ação": "Ação", "Ã": "Ã", None: None}),
         (text.normalized, {"SSD 1,5TB – Novo!": "ssd 1 5tb novo", "": "", None: ""}),
         (lambda c: F.array_join(text.tokens(text.normalized(c)), " "), {"Cabo de USB a C3 C3 ab": "cabo usb c3", "": "", None: ""}),
         (lambda c: text.title_key(text.normalized(c)), {"Mouse de mesa com fio " + "x " * 30: "mouse mesa fio " + " ".join(["x"] * 15)}),

@@ -35,6 +35,8 @@ def test_matches_against_brute_force(spark):
     pairs = products.alias("p").crossJoin(evidence.alias("e")).select(F.struct("p.*").alias("p"), F.struct("e.*").alias("e"), matching.text_ratio("p.norm", "e.norm").alias("ratio"))
     want = {(r.a, r.b): r.s for r in pairs.select(F.col("p.key").alias("a"), F.col("e.key").alias("b"), matching._score("p", "e", F.col("ratio")).alias("s")).collect() if r.s >= matching.LEAST_SCORE}
     assert got == want and got
+    details = matching.match_details(matching.matches(products, evidence), most=2).collect()
+    assert {r.p_key for r in details} == {p for p, _ in got} and all(1 <= r.details.count("e_key") <= 2 for r in details)
     one = spark.createDataFrame([("abc def", "abd def")], "a string, b string").select(matching.text_ratio("a", "b").alias("r")).first().r
     assert one == SequenceMatcher(None, "abc def", "abd def").ratio()
     assert matching.matches(products.limit(0), evidence).count() == 0

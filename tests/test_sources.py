@@ -88,6 +88,10 @@ def test_saved_searches(spark, tmp_path):
     assert (item.external_id, item.title, float(item.price), item.seller_id) == ("X", "N", 9.5, "5")
 
 
+def test_missing_tables(spark, data):
+    assert readers.missing_tables(spark, data, ["documents", "nowhere", "source_runs"]) == ["nowhere"]
+
+
 def test_append_upsert_replace(spark, tmp_path):
     path, key = str(tmp_path / "t"), ["a", "b"]
     batch = spark.createDataFrame([("x", None, 1), ("x", None, 2), ("x", "y", 3), ("x", "y", 4)], "a string, b string, n int")
