@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercanta.operators.relational import date_dimension, seconds_between, surrogate_keys, title_case, with_unknown
-from mercanta.runtime import table
+from mercanta.runtime import table, written
 
 
 def static_dimension(spark: SparkSession, codes: list[tuple[int, str, str]]) -> DataFrame:
@@ -39,10 +39,11 @@ def suppliers(spark: SparkSession, root: str) -> DataFrame:
     return surrogate_keys(named, ["supplier_slug"], "supplier_sk")
 
 
-def products(spark: SparkSession, root: str) -> DataFrame:
-    """Supplier products with their key and their supplier's."""
+def products(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """Supplier products with their key and their supplier's; ``known`` is the supplier dimension if it is there already."""
+    known = suppliers(spark, root) if known is None else known
     rows = table(spark, root, "supplier_products_normalized").select("id", "supplier_slug", "source_product_key", "normalized_title", "token_count", "sku", "ean", "currency_id")
-    return surrogate_keys(rows.join(suppliers(spark, root).select("supplier_slug", "supplier_sk"), "supplier_slug"), ["supplier_slug", "normalized_title", "id"], "product_sk")
+    return surrogate_keys(rows.join(known.select("supplier_slug", "supplier_sk"), "supplier_slug"), ["supplier_slug", "normalized_title", "id"], "product_sk")
 
 
 def engine_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -59,8 +60,9 @@ def opportunity_fact(spark: SparkSession, root: str) -> DataFrame:
     """Snapshots with the keys of run, supplier, product, recommendation and confidence (99: unknown) and the date key."""
     fact = table(spark, root, "decision_opportunity_snapshots")
     runs = engine_runs(spark, root).select(F.col("id").alias("decision_run_id"), "run_sk")
-    items = products(spark, root).select(F.col("id").alias("supplier_product_id"), "product_sk")
-    fact = fact.join(runs, "decision_run_id", "left").join(suppliers(spark, root).select("supplier_slug", "supplier_sk"), "supplier_slug", "left").join(items, "supplier_product_id", "left")
+    known = written(suppliers(spark, root), "suppliers")
+    items = products(spark, root, known).select(F.col("id").alias("supplier_product_id"), "product_sk")
+    fact = fact.join(runs, "decision_run_id", "left").join(known.select("supplier_slug", "supplier_sk"), "supplier_slug", "left").join(items, "supplier_product_id", "left")
     fact = with_unknown(fact, recommendation_dimension(spark).withColumnRenamed("sk", "recommendation_sk"), "recommendation", "code", "recommendation_sk")
     fact = with_unknown(fact, confidence_dimension(spark).withColumnRenamed("sk", "confidence_sk"), "confidence_level", "code", "confidence_sk")
     return fact.select("id", "run_sk", "supplier_sk", "product_sk", "recommendation_sk", "confidence_sk", F.date_format("generated_at", "yyyyMMdd").cast("int").alias("date_key"), "supplier_price", "estimated_market_price", "estimated_net_profit", "net_margin_pct", "market_offer_count", "price_history_count", "match_confidence", "decision_score", F.size("risk_flags").alias("risk_flag_count"))
