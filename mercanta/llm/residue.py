@@ -1,15 +1,14 @@
 """Template residue, filler and error pages in texts (problem 10).
 
 Texts are cut into passages and equal ones are counted once. Passages that fixed patterns recognise get
-trusted labels. Near-duplicates of labelled passages are found with partitioned SimHash tables: 64-bit
-fingerprints, cut into blocks, one table for every two blocks; candidates that share a key are verified by
-Hamming distance and by text similarity. Labels spread over the links until no component grows, round by round.
+trusted labels. Near-duplicates of labelled passages are found without loss: every two texts whose lengths
+allow the similarity meet, the sets of their letter pairs rule out those that can't reach it, and the rest
+is verified by edit distance. Labels spread over the links until no component grows, round by round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,10 @@ from mercanta.functions.text import fold
 from mercanta.runtime import table, written
 
 GRAM = 3
-#: A table for every two of eight blocks of eight bits: fingerprints up to six bits apart always meet, farther ones mostly.
-BLOCKS, BLOCK_BITS = 8, 8
-MOST_BITS_APART = 14
 LEAST_SIMILAR = 0.8
+#: Columns of 64 bits that hold the set of a text's letter pairs, and the parts that the texts of one length are split into.
+PAIR_COLUMNS = ["pairs0", "pairs1", "pairs2", "pairs3"]
+PARTS = 4
 MOST_ROUNDS = 6
 
 #: What templates leave behind.
@@ -88,7 +87,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def simhash(texts: list[str], gram: int = GRAM) -> np.ndarray:
-    """64-bit SimHash over the character grams of each text; texts shorter than a gram are padded with blanks."""
+    """64-bit SimHash over the character grams of each text; texts shorter than a gram are padded with blanks. The spreading needs none."""
     coded = [np.frombuffer(t.ljust(gram).encode("utf-8"), dtype=np.uint8) for t in texts]
     out = np.zeros(len(texts), dtype=np.uint64)
     if not coded:
@@ -110,48 +109,69 @@ def simhash(texts: list[str], gram: int = GRAM) -> np.ndarray:
     return out
 
 
+def letter_pairs(texts: list[str]) -> np.ndarray:
+    """The set of each text's letter pairs, hashed to 256 bits: a row of four 64-bit words per text.
+
+    An edit takes at most two pairs from a text's set, so of two texts ``d`` edits apart neither has more than ``2 d`` bits that the other lacks.
+    """
+    out = np.zeros((len(texts), len(PAIR_COLUMNS)), dtype=np.uint64)
+    coded = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
+    if sum(map(len, coded)) < 2:
+        return out
+    row = np.repeat(np.arange(len(coded)), [len(c) for c in coded])
+    stream = np.concatenate(coded).astype(np.uint64)
+    h = _mix((stream[:-1] << np.uint64(21)) | stream[1:])[inside := row[:-1] == row[1:]]
+    np.bitwise_or.at(out, (row[:-1][inside], ((h >> np.uint64(6)) & np.uint64(3)).astype(int)), np.uint64(1) << (h & np.uint64(63)))
+    return out
+
+
 def fingerprinted(texts: DataFrame) -> DataFrame:
-    """Adds ``hash`` (SimHash of ``masked``) to the rows; whole texts, in batches."""
+    """Adds the letter pairs of ``masked`` to the rows; whole texts, in batches."""
     columns = texts.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", hash bigint"
+    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + "".join(f", {c} bigint" for c in PAIR_COLUMNS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = simhash(batch.column("masked").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], names=[*columns, "hash"])
+            pairs = letter_pairs(batch.column("masked").to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(pairs[:, i]) for i in range(len(PAIR_COLUMNS)))], names=[*columns, *PAIR_COLUMNS])
 
     return texts.mapInArrow(work, schema)
 
 
-def _blocks() -> Column:
-    """The keys of the SimHash tables that a fingerprint is in: one for every two blocks of its bits."""
-    block = [F.shiftrightunsigned("hash", BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
-    pairs = list(combinations(range(BLOCKS), 2))
-    return F.explode(F.array(*(F.struct(F.lit(n).alias("block"), (F.shiftleft(block[i], BLOCK_BITS) + block[j]).cast("int").alias("bits")) for n, (i, j) in enumerate(pairs))))
+def _lacking(a: str, b: str) -> Column:
+    """How many letter pairs of ``a`` (prefix of its columns) ``b`` lacks."""
+    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in PAIR_COLUMNS), F.lit(0))
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Labels of (masked, hash, label, core) spread from 1 to 0 over near-duplicates; -1 takes part in nothing. Gives masked.
+    """Labels of fingerprinted (masked, label, core) spread from 1 to 0 over near-duplicates; -1 takes part in nothing. Gives masked.
 
-    Each round links the newly labelled texts with open ones that share a block. Pairs are formed between
-    a labelled and an open text only, never within a group of alike open or alike labelled ones. A passage
-    may hold residue beside honest text; a link counts only if the open text also holds the words of the
+    Each round links the newly labelled texts with open ones of a length that allows the similarity: a labelled
+    text goes to each such length, and the texts of one length are split into parts, so no length is one task. Pairs
+    are formed between a labelled and an open text only, never within a group of alike open or alike labelled ones. A
+    passage may hold residue beside honest text; a link counts only if the open text also holds the words of the
     residue itself (core), else the honest part would carry the label on.
     """
-    open_texts = written(texts.where("label = 0").select("masked", "hash", _blocks().alias("k")).select("masked", "hash", "k.*"), "open")
-    new = texts.where("label = 1").select("masked", "hash", "core")
+    open_texts = texts.where("label = 0").select("masked", *PAIR_COLUMNS, F.length("masked").alias("size"), F.pmod(F.xxhash64("masked"), F.lit(PARTS)).alias("part"))
+    open_texts = written(open_texts, "open")
+    new = texts.where("label = 1").select("masked", "core", *PAIR_COLUMNS)
     done = written(new.select("masked"), "labelled")
     found = None
     for _ in range(MOST_ROUNDS):
-        seeds = new.select(F.col("masked").alias("seed"), F.col("hash").alias("seed_hash"), "core", _blocks().alias("k")).select("seed", "seed_hash", "core", "k.*")
-        near = open_texts.join(seeds, ["block", "bits"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("seed_hash"))) <= MOST_BITS_APART)
-        longer = F.greatest(F.length("masked"), F.length("seed"))
-        near = near.where((F.least(F.length("masked"), F.length("seed")) >= longer * LEAST_SIMILAR) & (1 - F.levenshtein("masked", "seed") / longer >= LEAST_SIMILAR))
+        seeds = new.select(F.col("masked").alias("seed"), "core", F.length("masked").alias("seed_size"), *(F.col(c).alias(f"seed_{c}") for c in PAIR_COLUMNS))
+        sizes = F.sequence(F.ceil(F.col("seed_size") * LEAST_SIMILAR - 1e-6), F.floor(F.col("seed_size") / LEAST_SIMILAR + 1e-6))
+        seeds = seeds.withColumn("size", F.explode(sizes.cast("array<int>"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+        longer = F.greatest("size", "seed_size")
+        most = 2 * F.floor(longer * (1 - LEAST_SIMILAR) + 1e-6)
+        # the edit distance is worked out only where the letter pairs allow it, and the core is looked at only in what is written
+        fit = F.when((_lacking("", "seed_") <= most) & (_lacking("seed_", "") <= most), F.expr(f"levenshtein(masked, seed, cast(floor(greatest(size, seed_size) * (1 - {LEAST_SIMILAR}) + 1e-6) as int))")) >= 0
+        near = written(open_texts.join(seeds, ["size", "part"]).where(fit), "near")
+        near = near.where((F.least("size", "seed_size") >= longer * LEAST_SIMILAR) & (1 - F.levenshtein("masked", "seed") / longer >= LEAST_SIMILAR))
         wanted, there = F.array_distinct(F.split(F.trim("core"), r"\s+")), F.split("masked", r"\s+")
         # a word of the core is there if one like it is: one letter in four may differ
         held = F.filter(wanted, lambda w: F.exists(there, lambda t: F.levenshtein(w, t) <= F.length(w) / 4))
         near = near.where(F.size(held) >= LEAST_SIMILAR * F.size(wanted))
-        grown = near.groupBy("masked", "hash").agg(F.min("core").alias("core"))
+        grown = near.groupBy("masked", *PAIR_COLUMNS).agg(F.min("core").alias("core"))
         if found is not None:
             grown = grown.join(found.select("masked"), "masked", "left_anti")
         new = written(grown, "grown")

@@ -50,3 +50,24 @@ def test_clean_and_found_part_the_table(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     found = residue.residue_documents(spark.read.parquet(f"{data}/documents.parquet")).agg(F.count("*").alias("n")).first().n
     assert residue.clean_documents(spark, data).count() == n - found
+
+
+def test_spreading_reaches_all_that_brute_force_reaches(spark):
+    words = "conexao pagina servidor tempo acesso pedido painel cliente janela motivo retorno limite sistema grupo volume rede turno campo modelo folha".split()
+    rng = np.random.default_rng(7)
+    seeds = ["zz " + " ".join(rng.choice(words, size=6)) for _ in range(60)]
+    texts = {s: 1 for s in seeds}
+    for s in seeds:
+        for edits in range(1, 13):
+            t = list(s)
+            for at in rng.integers(3, len(t), size=edits):
+                t[at] = "qwxyk"[rng.integers(5)]
+            texts.setdefault("".join(t), 0)
+    rows = spark.createDataFrame([(t, label, "zz") for t, label in texts.items()], "masked string, label int, core string")
+    got = {r.masked for r in residue.spread(residue.fingerprinted(rows)).collect()}
+    alike = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) >= 0.8
+    want, last = set(seeds), set()
+    while want != last:
+        last, labelled = want, spark.createDataFrame([(w,) for w in want], "seed string")
+        want = want | {r.masked for r in rows.crossJoin(labelled).where(alike(F.col("masked"), F.col("seed"))).select("masked").distinct().collect()}
+    assert got == want and len(want) > len(seeds) + 300
