@@ -1,9 +1,10 @@
-"""Template residue, filler and error pages in texts (problem 10).
+"""Template residue, filler and error-page text (problem 10).
 
-Texts are cut into passages and equal ones are counted once. Passages that fixed patterns recognise get
-trusted labels. Near-duplicates of labelled passages are found without loss: every two texts whose lengths
-allow the similarity meet, the sets of their letter pairs rule out those that can't reach it, and the rest
-is verified by edit distance. Labels spread over the links until no component grows, round by round.
+Texts are cut into passages and equal ones are looked at once. A unit is a passage, a window of a long one, or
+the words beside an empty slot. Units that hold trusted signs (slots that no template engine filled, filler,
+notices of failed or script-only pages) get trusted labels. All units get a SimHash; near-duplicates meet in
+partitioned tables, are verified by Hamming distance and edit similarity, and the labels spread through the
+connected components, round by round, until none grows.
 """
 
 from __future__ import annotations
@@ -15,69 +16,114 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercanta.functions.text import fold
+from mercanta.functions.text import ACCENTED, FOLDED, repair
 from mercanta.runtime import table, written
 
-GRAM = 3
-LEAST_SIMILAR = 0.8
-#: Columns of 64 bits that hold the set of a text's letter pairs, and the parts that the texts of one length are split into.
-PAIR_COLUMNS = ["pairs0", "pairs1", "pairs2", "pairs3"]
-PARTS = 4
-MOST_ROUNDS = 6
-
-#: What templates leave behind.
-PLACEHOLDERS = [
-    r"\{\{.{0,60}?\}\}", r"\{%.{0,60}?%\}", r"<%.{0,60}?%>", r"\$\{.{0,40}?\}", r"#\{.{0,40}?\}", r"%\(\w{1,30}\)s", r"\*\|\w{1,40}\|\*", r"\[\[.{1,40}?\]\]", r"@@\w{1,40}@@",
-    r"(?<!\w)__[a-z]\w{0,40}__(?!\w)", r"%%\w{1,40}%%", r"<<\w{1,40}>>", r"\[(?:inserir|insira|preencher|insert|insertar|your|seu|sua)\b[^\]]{0,40}\]", r"\[[^\]]{1,30}\b(?:aqui|here|aca)\]", r"<preencher\b[^>]{0,40}>",
-    r"<\w+_d[oae]_\w+>", r"\{(?:\d{1,2}|[a-z_]{3,30})\}", r"\[object object\]", r"\bproduct\.detail\.\w+", r"\b[a-z]+\.[a-z]+\.[a-z_]+\.(?:label|title|text)\b", r"%s\b",
-]
-#: Empty values in the frames that templates put around them.
-_VOID = r"(?:undefined|nan|null|none|n/a)"
-EMPTY_VALUES = [
-    rf"\bsobre o produto: {_VOID}\b", rf"\bmarca: {_VOID}\b", rf"\bmodelo: {_VOID}\b", rf"\bpreco: r\$ ?{_VOID}\b", rf"\bprazo: {_VOID}\b", rf"\bate {_VOID}x de\b", rf"\bde r\$ {_VOID}\b", rf"\bdisponivel em {_VOID}\b", rf"\bna loja {_VOID}\b",
-    rf"\b(?:cor|detalhes|peso|voltagem|titulo|garantia|dimensoes|estoque): {_VOID}\b", rf"\bcompre ja {_VOID}\b", rf"\bgarantia de {_VOID}\b", rf"\bmeses pela {_VOID}\b", rf"\bola,? {_VOID}\b", rf"\bpedido de {_VOID}\b", rf"\buteis para {_VOID}\b",
+#: SimHash over letter pairs; blocks of its bits, two of which make the key of a table.
+GRAM, BLOCKS, BLOCK_BITS = 2, 9, 7
+#: Links: most bits apart, least edit similarity.
+MOST_BITS_APART, LEAST_SIMILAR = 20, 0.8
+#: Words of a window of a long passage, words from one window to the next, words kept around a trusted sign or beside a slot, and words in which a writer may tell of it.
+WINDOW, STRIDE, BESIDE, TOLD_IN = 8, 4, 4, 6
+
+#: Slots that templates leave behind.
+SLOTS = [
+    r"\{\{.{0,60}?\}\}", r"\{%.{0,60}?%\}", r"<%.{0,60}?%>", r"\$\{.{0,40}?\}", r"#\{.{0,40}?\}", r"%\(\w{1,30}\)s", r"\*\|\w{1,40}\|\*", r"\[\[.{1,40}?\]\]", r"@@\w{1,40}@@", r"(?<!\w)__[a-z]\w{0,40}__(?!\w)", r"%%\w{1,40}%%", r"<<\w{1,40}>>",
+    r"\[(?:inserir|insira|preencher|insert|insertar|your|seu|sua)\b[^\]]{0,40}\]", r"\[[^\]]{1,30}\b(?:aqui|here|aca)\]", r"\[[a-z]+_[a-z_]+\]", r"<(?:preencher|inserir|insert)\b[^>]{0,40}>", r"<[a-z]+(?:_[a-z]+)+>", r"\{(?:\d{1,2}|[a-z_]{3,30}|[a-z]+-[a-z-]+)\}",
+    r"\[object object\]", r"\b[a-z]+(?:\.[a-z_]+){1,4}\.(?:label|title|text|name|description|placeholder|message)",
 ]
+#: What programs write for a value that isn't there. Not trusted by themselves: names and talk use the words too.
+VOID = r"(?<!\w)(?:undefined|nan|null|none|n/a)(?!\w)"
+_LATIN = r"(?:um|us|am|at|et|it|ens|ant|ent|unt|tis|ris)"
 #: Filler texts.
 FILLER = [
-    r"\blorem ipsum (?:dolor|texto)", r"\bdolor sit amet\b", r"\basdf asdf\b", r"\btexto de relleno\b", r"\btexto provisorio\b", r"\bsample text\b", r"\btexto de exemplo\b", r"\bparagrafo \d+\.", r"\btitulo principal\b", r"\bsubtitulo\b", r"\bsubstitua este texto\b",
-    r"\breplace with the real\b", r"\bescreva aqui\b", r"\bplaceholder\b", r"\bx{5,}\b", r"\bdescricao do produto aqui\b", r"\btexto de prueba\b", r"\bdummy text\b",
-    r"(?:\b(?:sumero|ordium|mixtum|marcam|ingens|turpa|convit|ipsat|velunto|nullat|laboran|tessit|solet|aulora|doloram|pentis|parvat|calevat|dictio|orant|quaram|vestit|febris|sericula|estum)\b\W*){3}",
+    r"\blorem ipsum\b", r"\bdolor sit amet\b", r"\basdf(?:gh?j?k?l?)?\b", r"\bqwerty qwerty\b", r"\btexto (?:de relleno|provisorio|de exemplo|de prueba|ficticio)\b", r"\b(?:sample|dummy|placeholder|filler) text\b", r"\bplaceholder\b", r"\b(?:paragrafo|paragraph) \d+\.", r"\b(?:titulo principal|subtitulo|main title|subtitle)\b", r"\bsubstitua este texto\b", r"\breplace (?:this text|with the real)\b", r"\b(?:escreva|digite|insira) (?:o texto )?aqui\b",
+    r"\b(?:descricao|description) (?:do produto )?(?:aqui|here)\b", r"\bteste de cadastro\b", r"\b(?:apagar depois|delete later|borrar despues)\b", r"\bx{5,}\b", r"^\W*(?<again>\w[\w ]{1,20}?)(?:[\s,;-]+\k<again>){2,}\W*$",
+    # five words of four letters or more, three of them close together with Latin endings
+    rf"\b(?=(?:[a-z]{{4,}} ){{4}}[a-z]{{4,}}\b)(?:[a-z]+ )??[a-z]+{_LATIN} (?:[a-z]+ )??[a-z]+{_LATIN} (?:[a-z]+ )??[a-z]+{_LATIN}\b",
 ]
-#: Notices of pages that need scripts, and of pages that failed or were blocked.
-_SCRIPT = r"(?:java ?script|scripts?|js(?! ?-?\d)|cookies)"
-_SWITCH = r"(?:habilit\w*|ativ\w*|activ\w*|lig(?:ar|ad\w*|ue)|permit\w*|enabl\w*|allow\w*|turn(?:ed)? on|precisa\w*|requer\w*|requier\w*|requir\w*|depend\w*|needs?|necesita\w*|sem|disponivel apenas)"
+_SCRIPT = r"(?:java ?script|scripts?|js(?! ?-?\d)|cookies|client-side scripting)"
+_SWITCH = r"(?:habilit\w*|ativ\w*|activ\w*|lig(?:ar|ad\w*|ue)|permit\w*|enabl\w*|allow\w*|turn(?:ed)? on|precisa\w*|requer\w*|requier\w*|requir\w*|depend\w*|needs?|necesita\w*|sem|without|sin|disponivel apenas)"
+#: Names of HTTP errors, in the languages of the texts.
+_STATUS = r"(?:not found|bad gateway|gateway time-?out|forbidden|service unavailable|internal server error|unauthorized|too many requests|bad request|request timeout|servico indisponivel|servicio no disponible|acesso negado|acceso denegado|nao encontrad[oa]|no encontrad[oa]|erro interno)"
+#: Notices of pages that need scripts, and of pages that failed, were blocked or are gone.
 PAGES = [
-    rf"\b{_SWITCH}\b[^.!?]{{0,60}}\b{_SCRIPT}\b", rf"\b{_SCRIPT}\b[^.!?]{{0,40}}\b(?:habilitad\w*|ativad\w*|ativos?|activ\w*|enabled|ligad\w*|disabled|desativad\w*)\b", r"\bnoscript\b", r"\bnao suporta os recursos\b", r"\bimpediu o carregamento\b",
-    r"(?<!['\"])\bpagina nao encontrada\b(?!['\"])", r"\bfaca login para continuar\b", r"\bslow down and retry\b", r"\bclient-side scripting\b", r"\b(?:http|status|error|erro) ?[45]\d\d\b.{0,60}\b(?:id|ref|retry|owner|fetch|timed|permission|url|policy|unreachable|requests|encontrad\w*|servidor|gateway|forbidden|denied|unavailable)\b",
-    r"\berro \d{3} ?- ?(?:not found|servico indisponivel|acesso negado|bad gateway|forbidden|service unavailable|pagina|internal|nao encontrad\w*|gateway)", r"\ba conexao expirou\b", r"\brequested url was not found\b", r"\bupstream timed out\b", r"\bbackend fetch failed\b", r"\brejected by policy\b", r"\borigin unreachable\b", r"\byou do not have permission\b", r"\baccess to this page was\b", r"\baccess denied\b", r"\btoo many requests\b", r"\bcontact the site owner\b",
-    r"\bproblema ao montar a pagina\b", r"\bnao foi possivel carregar\b", r"\bbanco de dados recusad", r"\btraceback\b", r"\bkeyerror\b", r"\binternal (?:failure|server error)\b", r"\bnull reference\b", r"\btemporariamente indisponivel\b", r"\bestamos em manutencao\b", r"\bsessao expirou\b",
-    r"\bacesso foi bloqueado\b", r"\bpagina saiu do ar\b", r"\bservidor nao respondeu\b", r"\bnao pode ser carregad", r"\bnao achamos o que voce procura\b", r"\bendereco que voce digitou\b", r"\bpagina solicitada no esta\b", r"\btrafego incomum\b", r"\bnao e um robo\b", r"\bnot a robot\b",
-    r"\bcaracteres da imagem\b", r"\bverifique-se para prosseguir\b", r"\bvoltar para a pagina inicial\b", r"^\W*(?:menu categorias contato|inicio > |loja virtual\b|central de ajuda\b)", r"© loja\b", r"\bfale conosco\W*$", r"\banuncio esta pausado\b", r"\btente novamente em alguns\b", r"\bfale com o suporte\b", r"\bvolte mais tarde\b", r"\btente outra busca\b", r"\bno esta disponible en este momento\b",
-]
-#: Passages that only speak of such things.
-TALK = [
-    r"\btive que habilitar\b", r"\bcurso de javascript\b", r"\btem modelo undefined\?", r"\bnan sound\b", r"\bpararam no captcha\b", r"\bcaptcha da loja\b", r"\bvisor mostrar\b", r"\bcounted \d+ pages\b", r"\bstore page said\b", r"\bquando leio o qr\b", r"\bo site deu erro\b",
-    r"\btrocaram o template\b", r"\bimprimi uma pagina de lorem\b", r"\bacesso negado na portaria\b", r"\bescrevi teste\b", r"\bexportei o perfil\b", r"\bgrava macros\b", r"\bguardei o campo\b",
+    rf"\b{_SWITCH}\b[^.!?]{{0,60}}\b{_SCRIPT}\b", rf"\b{_SCRIPT}\b[^.!?]{{0,40}}\b(?:habilitad\w*|ativad\w*|ativos?|activ\w*|enabled|ligad\w*|disabled|desativad\w*)\b", r"\bnoscript\b", r"\b(?:navegador|browser|navegador web)\b[^.!?]{0,20}\b(?:nao suporta|not supported|desatualizad\w*|outdated|no soporta|no es compatible)", r"\b(?:outdated|unsupported) browser\b", r"\b(?:update|upgrade|atualize|actualice) (?:your|seu|o|su) (?:browser|navegador)\b",
+    rf"\b(?:erro|error|http|status|codigo)?:? ?[45]\d\d\b[ :-]{{1,3}}{_STATUS}", rf"\b{_STATUS}\b[ :-]{{1,3}}\(?[45]\d\d\b", r"\b(?:http|status|error|erro) ?[45]\d\d\b.{0,60}\b(?:id|ref|retry|owner|fetch|timed|permission|url|policy|unreachable|requests|servidor|gateway|denied|unavailable)\b", rf"^\W*(?:[45]\d\d )?{_STATUS}\W*$", r"^\W*nginx(?:/[\d.]+)?\W*$", r"\bapache/\d",
+    r"\b(?:pagina|page|produto|product|anuncio|producto)\b[^.!?]{0,30}\b(?:nao (?:foi )?encontrad[oa]|not found|no (?:fue )?encontrad[oa]|nao existe mais|no longer (?:exists|available)|ya no existe|saiu do ar|esta pausad[oa]|no esta disponible|was removed)\b", r"\brequested url\b", r"\bupstream (?:timed out|connect error)\b", r"\bbackend fetch failed\b", r"\brejected by policy\b", r"\borigin unreachable\b", r"\byou do not have permission\b", r"\baccess to this page\b", r"\baccess denied\b", r"\btoo many requests\b", r"\bcontact the site owner\b",
+    r"\bproblema ao (?:montar|carregar|abrir) a pagina\b", r"\bnao foi possivel carregar\b", r"\bnao pode ser carregad", r"\b(?:banco de dados|database)\b[^.!?]{0,20}\b(?:recus|refus|indispon|unavail|err)", r"\btraceback\b", r"\b(?:key|type|value|attribute)error\b", r"\binternal (?:failure|server error)\b", r"\bnull ?(?:pointer|reference)\b", r"\btemporar(?:iamente|ily) (?:indisponivel|unavailable)\b", r"\bem manutencao\b", r"\bunder maintenance\b", r"\b(?:sessao|conexao) expirou\b", r"\bsession (?:has )?expired\b", r"\b(?:faca login|sign in|log in|entre) (?:para|to) contin", r"\b(?:algo deu errado|something went wrong|algo salio mal)\b",
+    r"\bacesso foi bloqueado\b", r"\baccess (?:was|has been) blocked\b", r"\bservidor nao respondeu\b", r"\bnao (?:achamos|encontramos) (?:o que|a pagina)\b", r"\b(?:trafego incomum|unusual traffic)\b", r"\b(?:nao e|not a|no es|no eres) (?:um |un )?robo?t?\b", r"\bverify (?:that )?you are (?:a )?human\b", r"\bno esta disponible en este momento\b",
+    r"^\W*o{1,2}ps\W*$", r"\b(?:tente|try) (?:novamente em alguns|again later)\b", r"\b(?:volte mais tarde|come back later)\b", r"\b(?:bloqueador|blocker|extensao|extension)\b[^.!?]{0,40}\b(?:carregamento|loading)\b", r"\bimpediu o carregamento\b",
 ]
+#: Words by which a writer speaks of such things instead of showing them: just before the sign, quotes right at it.
+TELLING = r"\b(?:eu|meus?|minhas?|tive|fiz|uso|usei|quando|consegui|imprimi|escrevi|exportei|guardei|digitei|contei|li|curso|disse|diz|aparece|yo|mis?|tuve|dice|my|we|he|she|said|says|counted|had|was|saw)\b|['\"]\s*$"
+
+_SLOT, _SOFT = "|".join(SLOTS), "|".join([*FILLER, *PAGES])
 
 
-_RESIDUE = "|".join([*PLACEHOLDERS, *EMPTY_VALUES, *FILLER, *PAGES])
+def _parts(text: Column) -> Column:
+    """The folded sentences and lines of a text."""
+    plain = F.when(text.rlike("[ÃÂ]"), repair(text)).otherwise(text)
+    plain = F.lower(F.translate(F.regexp_replace(plain, "[\\u00a0\\u2000-\\u200b\\u202f\\u3000\\ufeff\\t]+", " "), ACCENTED, FOLDED))
+    plain = F.when(plain.rlike("\\p{M}"), F.regexp_replace(plain, "\\p{M}+", "")).otherwise(plain)
+    return F.transform(F.split(plain, r"(?<=[.!?]) +|\s*[\r\n]\s*"), lambda p: F.trim(F.regexp_replace(p, r"\s{2,}", " ")))
 
 
-def recognised(passage: Column) -> Column:
-    """1 for trusted residue, -1 for talk about such things, 0 for the rest. ``passage`` is folded."""
-    return F.when(passage.rlike("|".join(TALK)), -1).when(passage.rlike(_RESIDUE), 1).otherwise(0)
+def passages(documents: DataFrame) -> DataFrame:
+    """(doc_id, passage): the sentences and lines of each whole text, folded. NULL and empty texts have none."""
+    return documents.where("text IS NOT NULL").select("doc_id", F.explode(_parts(F.col("text"))).alias("passage")).where("passage != ''")
 
 
 def _masked(text: Column) -> Column:
-    """Numbers and hexadecimal codes as 0."""
+    """Slots and missing values as one sign, hexadecimal codes and numbers as 0."""
+    text = F.when(text.rlike(f"{_SLOT}|{VOID}"), F.regexp_replace(text, f"{_SLOT}|{VOID}", "§")).otherwise(text)
     return F.regexp_replace(F.regexp_replace(text, r"\b(?=[a-f0-9]*\d)[a-f0-9]{4,}\b", "0"), r"\d+", "0")
 
 
-def passages(documents: DataFrame) -> DataFrame:
-    """(doc_id, passage): the sentences and lines of each whole text, folded. NULL and empty texts have none."""
-    parts = F.explode(F.split(F.regexp_replace("text", " ", " "), r"(?<=[.!?])\s+|[\r\n]+"))
-    return documents.where("text IS NOT NULL").select("doc_id", parts.alias("part")).select("doc_id", fold(F.col("part")).alias("passage")).where("passage != ''")
+def _last(text: Column, n: int) -> Column:
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), F.lit(n)), " ")
+
+
+def _first(text: Column, n: int) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(text, " "), lambda w: w != ""), 1, n), " ")
+
+
+def _soft(passage: Column) -> tuple[Column, Column]:
+    """The words before the first trusted sign of a passage that holds one, and the sign with the words around it."""
+    whole = rf"(?s)^(.*?)({_SOFT})(.*)$"
+    before, sign, after = (F.regexp_extract(passage, whole, i) for i in (1, 2, 4))
+    return _last(before, TOLD_IN), F.trim(F.concat_ws(" ", _last(before, BESIDE), F.trim(sign), _first(after, BESIDE)))
+
+
+def units_of(distinct: DataFrame) -> DataFrame:
+    """(passage, unit, label) of distinct passages; label 1 is trusted residue, 0 open.
+
+    A passage with a trusted sign is labelled by the sign with the words around it, so honest text beside it carries no
+    label on. Open passages stand for themselves, long ones also by windows that cover them. Beside every slot, the words
+    before it and those after it are units of their own: trusted where a template left the slot, open where a missing
+    value stands in its place. A sign that the writer speaks of is none; if another passage of the same text shows it, that one counts.
+    """
+    p = F.col("passage")
+    signs = distinct.select("passage", p.rlike(_SLOT).alias("slot"), p.rlike(_SOFT).alias("sign"))
+    before, core = _soft(p)
+    told = F.col("sign") & (before.rlike(TELLING) | p.rlike(rf"['\"](?:{_SOFT})"))
+    rows = signs.select("passage", "slot", "sign", F.when(F.col("sign"), told).otherwise(False).alias("told"), _masked(p).alias("masked"), F.when(F.col("sign"), _masked(core)).alias("core"))
+    words = F.split("masked", " ")
+    starts = F.when(F.size(words) > WINDOW, F.sequence(F.lit(1), F.size(words) - WINDOW + STRIDE, F.lit(STRIDE)))
+    windows = F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(WINDOW)), " ")), F.array().cast("array<string>"))
+    pieces = F.split("masked", "§")
+    left = F.transform(F.slice(pieces, F.lit(1), F.greatest(F.lit(0), F.size(pieces) - 1)), lambda x: F.when(F.trim(x) != "", F.concat(_last(x, BESIDE), F.lit(" §"))))
+    right = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 1)), lambda x: F.when(F.trim(x) != "", F.concat(F.lit("§ "), _first(x, BESIDE))))
+    beside = F.when(F.col("masked").contains("§"), F.array_compact(F.concat(left, right))).otherwise(F.array().cast("array<string>"))
+    unit = lambda texts, label: F.transform(texts, lambda t: F.struct(t.alias("unit"), F.lit(label).alias("label")))
+    every = (
+        F.when(F.col("slot"), F.concat(unit(F.array(F.lit("§")), 1), unit(beside, 1)))
+        .when(F.col("told"), F.array().cast("array<struct<unit: string, label: int>>"))
+        .when(F.col("sign"), unit(F.array("core"), 1))
+        .otherwise(F.concat(unit(F.array("masked"), 0), unit(windows, 0), unit(beside, 0)))
+    )
+    return rows.select("passage", F.explode(F.array_distinct(every)).alias("u")).select("passage", "u.unit", "u.label")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -87,117 +133,102 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def simhash(texts: list[str], gram: int = GRAM) -> np.ndarray:
-    """64-bit SimHash over the character grams of each text; texts shorter than a gram are padded with blanks. The spreading needs none."""
-    coded = [np.frombuffer(t.ljust(gram).encode("utf-8"), dtype=np.uint8) for t in texts]
+    """64-bit SimHash over the letter grams of each text; texts shorter than a gram are padded with blanks."""
     out = np.zeros(len(texts), dtype=np.uint64)
-    if not coded:
+    if not texts:
         return out
+    coded = [np.frombuffer(t.ljust(gram).encode("utf-32-le"), dtype=np.uint32) for t in texts]
     lengths = np.array([len(c) for c in coded])
     stream = np.concatenate(coded).astype(np.uint64)
     h = np.zeros(len(stream) - gram + 1, dtype=np.uint64)
     for k in range(gram):
-        h = h * np.uint64(257) + stream[k : len(stream) - gram + 1 + k]
-    first = np.cumsum(lengths) - lengths
+        h = (h << np.uint64(21)) + stream[k : len(stream) - gram + 1 + k]
     h = _mix(h)
     grams = lengths - gram + 1
-    index = np.repeat(first - (np.cumsum(grams) - grams), grams) + np.arange(grams.sum())
-    h = h[index]
     starts = np.cumsum(grams) - grams
+    h = h[np.repeat(np.cumsum(lengths) - lengths - starts, grams) + np.arange(grams.sum())]
     for bit in range(64):
         ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int32), starts)
         out |= (ones * 2 > grams).astype(np.uint64) << np.uint64(bit)
     return out
 
 
-def letter_pairs(texts: list[str]) -> np.ndarray:
-    """The set of each text's letter pairs, hashed to 256 bits: a row of four 64-bit words per text.
-
-    An edit takes at most two pairs from a text's set, so of two texts ``d`` edits apart neither has more than ``2 d`` bits that the other lacks.
-    """
-    out = np.zeros((len(texts), len(PAIR_COLUMNS)), dtype=np.uint64)
-    coded = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
-    if sum(map(len, coded)) < 2:
-        return out
-    row = np.repeat(np.arange(len(coded)), [len(c) for c in coded])
-    stream = np.concatenate(coded).astype(np.uint64)
-    h = _mix((stream[:-1] << np.uint64(21)) | stream[1:])[inside := row[:-1] == row[1:]]
-    np.bitwise_or.at(out, (row[:-1][inside], ((h >> np.uint64(6)) & np.uint64(3)).astype(int)), np.uint64(1) << (h & np.uint64(63)))
-    return out
-
-
-def fingerprinted(texts: DataFrame) -> DataFrame:
-    """Adds the letter pairs of ``masked`` to the rows; whole texts, in batches."""
-    columns = texts.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + "".join(f", {c} bigint" for c in PAIR_COLUMNS)
+def fingerprinted(units: DataFrame) -> DataFrame:
+    """(unit, label) with ``h``, the SimHash of the whole unit, in batches."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = letter_pairs(batch.column("masked").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(pairs[:, i]) for i in range(len(PAIR_COLUMNS)))], names=[*columns, *PAIR_COLUMNS])
+            h = pa.array(simhash(batch.column("unit").to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("label"), h], names=["unit", "label", "h"])
 
-    return texts.mapInArrow(work, schema)
+    return units.select("unit", "label").mapInArrow(work, "unit string, label int, h bigint")
 
 
-def _lacking(a: str, b: str) -> Column:
-    """How many letter pairs of ``a`` (prefix of its columns) ``b`` lacks."""
-    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in PAIR_COLUMNS), F.lit(0))
+def _keys(h: Column, near: bool) -> Column:
+    """The keys of all tables: the number of the table, and two blocks of the SimHash. With ``near`` also every key one bit off."""
+    block = lambda i: F.shiftrightunsigned(h, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
+    keys = F.array(*(F.lit(t << 2 * BLOCK_BITS).cast("bigint") + F.shiftleft(block(i), BLOCK_BITS) + block(j) for t, (i, j) in enumerate(pairs)))
+    if near:
+        flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << bit).cast("bigint") for bit in range(2 * BLOCK_BITS)))
+        keys = F.flatten(F.transform(keys, lambda k: F.transform(flips, lambda f: k.bitwiseXOR(f))))
+    return keys
 
 
-def spread(texts: DataFrame) -> DataFrame:
-    """Labels of fingerprinted (masked, label, core) spread from 1 to 0 over near-duplicates; -1 takes part in nothing. Gives masked.
+def linked(seeds: DataFrame, others: DataFrame) -> DataFrame:
+    """(unit, seed) of every unit of ``others`` near a seed: met in a table, Hamming distance and edit similarity verified.
 
-    Each round links the newly labelled texts with open ones of a length that allows the similarity: a labelled
-    text goes to each such length, and the texts of one length are split into parts, so no length is one task. Pairs
-    are formed between a labelled and an open text only, never within a group of alike open or alike labelled ones. A
-    passage may hold residue beside honest text; a link counts only if the open text also holds the words of the
-    residue itself (core), else the honest part would carry the label on.
+    Two texts meet if in any two of nine blocks of their SimHashes at most one bit differs: surely up to 8
+    bits, mostly beyond. Only numbers go through the tables; a pair that meets often is verified once.
+    """
+    s = seeds.select(F.xxhash64("unit").alias("s_id"), F.col("h").alias("s_h"), F.length("unit").alias("s_size"), F.explode(_keys(F.col("h"), True)).alias("key"))
+    o = others.select(F.xxhash64("unit").alias("id"), "h", F.length("unit").alias("size"), F.explode(_keys(F.col("h"), False)).alias("key"))
+    shorter, longer = F.least("size", "s_size"), F.greatest("size", "s_size")
+    close = (F.bit_count(F.col("h").bitwiseXOR(F.col("s_h"))) <= MOST_BITS_APART) & (shorter >= longer * LEAST_SIMILAR)
+    met = o.join(s, "key").where(close).select("id", "s_id").distinct()
+    texts = met.join(others.select(F.xxhash64("unit").alias("id"), "unit"), "id").join(seeds.select(F.xxhash64("unit").alias("s_id"), F.col("unit").alias("seed")), "s_id")
+    longest = F.greatest(F.length("unit"), F.length("seed"))
+    # an empty slot is what such texts share: a text without one is no copy of a text with one
+    slots = F.col("unit").contains("§") == F.col("seed").contains("§")
+    return texts.where(slots & (1 - F.levenshtein("unit", "seed") / longest >= LEAST_SIMILAR - 1e-9)).select("unit", "seed")
+
+
+def spread(units: DataFrame) -> DataFrame:
+    """All units of (unit, label, h) that are connected to one with label 1, themselves included.
+
+    Each round links what was labelled last with open units and ends when a component no longer grows. Pairs
+    are formed between labelled and open units only, never within a group of alike ones.
     """
-    open_texts = texts.where("label = 0").select("masked", *PAIR_COLUMNS, F.length("masked").alias("size"), F.pmod(F.xxhash64("masked"), F.lit(PARTS)).alias("part"))
-    open_texts = written(open_texts, "open")
-    new = texts.where("label = 1").select("masked", "core", *PAIR_COLUMNS)
-    done = written(new.select("masked"), "labelled")
-    found = None
-    for _ in range(MOST_ROUNDS):
-        seeds = new.select(F.col("masked").alias("seed"), "core", F.length("masked").alias("seed_size"), *(F.col(c).alias(f"seed_{c}") for c in PAIR_COLUMNS))
-        sizes = F.sequence(F.ceil(F.col("seed_size") * LEAST_SIMILAR - 1e-6), F.floor(F.col("seed_size") / LEAST_SIMILAR + 1e-6))
-        seeds = seeds.withColumn("size", F.explode(sizes.cast("array<int>"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
-        longer = F.greatest("size", "seed_size")
-        most = 2 * F.floor(longer * (1 - LEAST_SIMILAR) + 1e-6)
-        # the edit distance is worked out only where the letter pairs allow it, and the core is looked at only in what is written
-        fit = F.when((_lacking("", "seed_") <= most) & (_lacking("seed_", "") <= most), F.expr(f"levenshtein(masked, seed, cast(floor(greatest(size, seed_size) * (1 - {LEAST_SIMILAR}) + 1e-6) as int))")) >= 0
-        near = written(open_texts.join(seeds, ["size", "part"]).where(fit), "near")
-        near = near.where((F.least("size", "seed_size") >= longer * LEAST_SIMILAR) & (1 - F.levenshtein("masked", "seed") / longer >= LEAST_SIMILAR))
-        wanted, there = F.array_distinct(F.split(F.trim("core"), r"\s+")), F.split("masked", r"\s+")
-        # a word of the core is there if one like it is: one letter in four may differ
-        held = F.filter(wanted, lambda w: F.exists(there, lambda t: F.levenshtein(w, t) <= F.length(w) / 4))
-        near = near.where(F.size(held) >= LEAST_SIMILAR * F.size(wanted))
-        grown = near.groupBy("masked", *PAIR_COLUMNS).agg(F.min("core").alias("core"))
-        if found is not None:
-            grown = grown.join(found.select("masked"), "masked", "left_anti")
-        new = written(grown, "grown")
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-    return done if found is None else done.unionByName(found.select("masked"))
-
-
-def residue_passages(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, masked) of all passages, and the masked passages that are residue."""
-    cut = written(passages(documents).select("doc_id", "passage", _masked(F.col("passage")).alias("masked")), "passages")
-    texts = cut.groupBy("masked").agg(F.min("passage").alias("passage"))
-    texts = texts.select("masked", recognised(F.col("passage")).alias("label"), _masked(F.regexp_extract("passage", _RESIDUE, 0)).alias("core"))
-    texts = written(fingerprinted(written(texts, "texts")), "fingerprints")
-    return cut.select("doc_id", "masked"), spread(texts)
+    new = written(units.where("label = 1").select("unit", "h"), "labelled")
+    rest = written(units.where("label = 0").select("unit", "h"), "open")
+    done = new
+    while True:
+        reached = written(linked(new, rest).select("unit").distinct(), "reached")
+        if reached.isEmpty():
+            return done.select("unit")
+        new = written(rest.join(reached, "unit", "left_semi"), "grown")
+        rest = written(rest.join(reached, "unit", "left_anti"), "open")
+        done = done.unionByName(new)
+
+
+def residue_units(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, passage) of all passages, (passage, unit, label) of the distinct ones, and the units of residue components."""
+    cut = written(passages(documents), "passages")
+    units = written(units_of(cut.select("passage").distinct()), "units")
+    # a text that shows a sign is trusted, whatever else it is part of
+    distinct = units.groupBy("unit").agg(F.max("label").alias("label"))
+    return cut, units, spread(written(fingerprinted(distinct), "fingerprints"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
-    """doc_id of the documents of which any passage is residue, once each.
+    """doc_id of the documents of which any passage is in a component of trusted residue, once each.
 
     NULL and empty texts are no case; copies of a text are all found; texts that only speak of templates or
     errors are no case. A passage that any share of the documents holds is looked at once.
     """
-    cut, labelled = residue_passages(documents)
-    return cut.join(labelled.distinct(), "masked", "left_semi").select("doc_id").distinct()
+    cut, units, labelled = residue_units(documents)
+    hit = units.join(labelled, "unit", "left_semi").select("passage").distinct()
+    return cut.join(hit, "passage", "left_semi").select("doc_id").distinct()
 
 
 def clean_documents(spark: SparkSession, root: str) -> DataFrame:
