@@ -76,7 +76,7 @@ def p6_changes(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Every object in an array of the marketplace payloads, with the path of its parent."""
-    return nested.payload_objects(spark, root).select("source_table", "record_id", "parent_path", "object_path")
+    return nested.payload_objects(spark, root, texts=False).select("source_table", "record_id", "parent_path", "object_path")
 
 
 def p7_tables(spark: SparkSession, root: str) -> DataFrame:
@@ -153,7 +153,26 @@ c AS (SELECT field_name, s, k, a FROM (SELECT *, one OR two OR stuck OR coalesce
 SELECT table_name, id, field_name FROM r WHERE v <= 0.01 OR v >= 1000000
 UNION ALL SELECT r.table_name, r.id, r.field_name FROM r JOIN c USING (field_name, s, k, a) WHERE r.v > 0.01 AND r.v < 1000000"""
 
+_ARRAY_OBJECTS = """
+WITH RECURSIVE raw AS (SELECT 'mercado_livre_products_raw' AS source_table, id, payload FROM mercado_livre_products_raw UNION ALL SELECT 'mercado_livre_items_raw', id, payload FROM mercado_livre_items_raw),
+parsed AS (SELECT source_table, id, CAST(payload AS JSON) AS j FROM raw WHERE json_valid(payload)),
+node AS (
+  SELECT source_table, id, '' AS path, '' AS way, '' AS parent, false AS element, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS j FROM parsed
+  UNION ALL
+  SELECT source_table, id, path, way, parent, element, CASE WHEN declared AND json_type(v) = 'OBJECT' THEN json_array(v) ELSE v END FROM (
+    SELECT *, CASE WHEN declared AND json_type(j) = 'VARCHAR' AND json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) ELSE j END AS v FROM (
+      SELECT *, NOT element AND way IN ('attributes', 'attributes.values', 'pictures', 'pictures.sizes') OR NOT element AND CASE source_table
+        WHEN 'mercado_livre_products_raw' THEN way IN ('main_features', 'pickers', 'pickers.products', 'pickers.products.thumbs', 'pickers.products.thumbs.sizes', 'buy_box_winner.sale_terms', 'buy_box_winner.sale_terms.values')
+        ELSE way IN ('seller.reputation.periods', 'shipping.options', 'shipping.options.estimates', 'variations', 'variations.attribute_combinations', 'variations.attribute_combinations.values', 'variations.sale_terms', 'variations.sale_terms.values') END AS declared
+      FROM (
+        SELECT source_table, id, s.i IS NOT NULL AS element, CASE WHEN s.i IS NOT NULL THEN path || '[' || s.i || ']' WHEN path = '' THEN s.k ELSE path || '.' || s.k END AS path,
+          CASE WHEN s.i IS NOT NULL THEN way WHEN way = '' THEN s.k ELSE way || '.' || s.k END AS way, CASE WHEN up AND kind = 'OBJECT' THEN path ELSE parent END AS parent,
+          json_extract(j, CASE WHEN s.i IS NOT NULL THEN '$[' || s.i || ']' ELSE '$."' || s.k || '"' END) AS j
+        FROM (SELECT source_table, id, path, way, parent, element AS up, j, json_type(j) AS kind, unnest(CASE json_type(j) WHEN 'OBJECT' THEN [{'k': k, 'i': NULL::BIGINT} for k in json_keys(j)] WHEN 'ARRAY' THEN [{'k': NULL::VARCHAR, 'i': i} for i in range(json_array_length(j)::BIGINT)] END) AS s FROM node WHERE json_type(j) IN ('OBJECT', 'ARRAY'))))))
+SELECT source_table, id AS record_id, parent AS parent_path, path AS object_path FROM node WHERE element AND json_type(j) = 'OBJECT'"""
+
 ORACLE = {
+    "p7_found": _ARRAY_OBJECTS,
     "p5_found": _JUMPS,
     "p1_found": _LOAD_ISSUES,
     "p4_found": _UNITS.replace("\\\\", "\\"),

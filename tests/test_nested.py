@@ -1,7 +1,8 @@
 import json
 import random
 
-from mercanta.operators.nested import ARRAYS, _walk, array_objects
+from mercanta.operators import nested
+from mercanta.operators.nested import ARRAYS, array_objects, declared_ways
 
 TREE = ARRAYS["mercado_livre_products_raw"]
 
@@ -11,6 +12,32 @@ def _found(spark, payloads):
     return sorted((r.record_id, r.parent_path, r.object_path) for r in array_objects(df, "id", "payload", "p", TREE).collect())
 
 
+def _brute(value, declared):
+    """(parent path, path) of every array object, by plain recursion."""
+    out = []
+
+    def go(x, path, parent, way):
+        if isinstance(x, list):
+            for i, y in enumerate(x):
+                here = f"{path}[{i}]"
+                if isinstance(y, dict):
+                    out.append((parent, here))
+                go(y, here, here if isinstance(y, dict) else parent, way)
+        elif isinstance(x, dict):
+            for name, y in x.items():
+                w = f"{way}.{name}" if way else name
+                if w in declared:
+                    try:
+                        y = json.loads(y) if isinstance(y, str) else y
+                    except ValueError:
+                        continue
+                    y = [y] if isinstance(y, dict) else y
+                go(y, f"{path}.{name}" if path else name, parent, w)
+
+    go(value, "", "", "")
+    return out
+
+
 def _expected(payloads):
     out = []
     for i, p in enumerate(payloads):
@@ -19,7 +46,7 @@ def _expected(payloads):
             v = json.loads(v) if isinstance(v, str) else v
         except ValueError:
             continue
-        out += [(r[1], r[2], r[3]) for r in _walk("p", TREE, str(i), v)]
+        out += [(str(i), *r) for r in _brute(v, declared_ways(TREE))]
     return sorted(out)
 
 
@@ -53,3 +80,19 @@ def test_random_payloads(spark):
 
     payloads = [json.dumps(arrays(TREE)) for _ in range(200)]
     assert _found(spark, payloads) == _expected(payloads)
+
+
+def test_arrays_that_nobody_declared(spark):
+    payloads = [
+        '{"foo":{"values":[{"a":1}]}}', '{"x":{"pictures":[{"b":2}]}}', '{"attributes":[{"sizes":[{"c":1}]}]}', '{"extra":[1,{"d":[{}]}]}', '{"foo-bar":[{"e":1}]}', '[[{"a":[{"b":"x\\\\"}]}],{"q\\"u":[null,{"z":"[{]"}]}]',
+        '{"a.b":[[1,[{}]]],"attributes":"[{\\"id\\":\\"{\\\\\\"}]\\"}]"}', '{"attributes":"{\\"values\\":\\"[{}]\\"}"}', '{"k":[{"t":"say \\"[{}]\\", then , : go"}]}', "{}", '{"a":[{"b":1}', "{} {}",
+    ]
+    assert _found(spark, payloads) == _expected(payloads) and len(_expected(payloads)) >= 14
+
+
+def test_blocks_and_texts(spark, monkeypatch):
+    payload = json.dumps({"attributes": [{"id": "á", "values": {"id": 1}}, {"id": "B"}]}, ensure_ascii=False)
+    df = spark.createDataFrame([(str(i), payload) for i in range(500)], "id string, payload string")
+    monkeypatch.setattr(nested, "BLOCK_BYTES", 700)
+    rows = array_objects(df, "id", "payload", "p", TREE).collect()
+    assert len(rows) == 1500 and {r.object for r in rows} == {'{"id": "á", "values": {"id": 1}}', '{"id": 1}', '{"id": "B"}'} and {r.table_name for r in rows} == {"p.attributes", "p.attributes.values"}
