@@ -5,6 +5,10 @@ the words beside an empty slot. Units that hold trusted signs (slots that no tem
 notices of failed or script-only pages) get trusted labels. All units get a SimHash; near-duplicates meet in
 partitioned tables, are verified by Hamming distance and edit similarity, and the labels spread through the
 connected components, round by round, until none grows.
+
+The tables are partitioned by length: texts of which one is less than 0.8 times as long as the other can't be
+that similar, so a text meets its own and the two neighbouring classes. A class is split into blocks of bounded
+size, labelled against open texts, and Hamming distances of a block are taken at once on 64-bit words.
 """
 
 from __future__ import annotations
@@ -12,15 +16,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercanta.functions.text import ACCENTED, FOLDED, repair
-from mercanta.runtime import table, written
+from mercanta.runtime import bounded_broadcast, table, written
 
-#: SimHash over letter pairs; blocks of its bits, two of which make the key of a table.
-GRAM, BLOCKS, BLOCK_BITS = 2, 9, 7
+#: SimHash over letter pairs; columns of 64 bits that hold the set of a text's letter pairs.
+GRAM = 2
+PAIR_COLUMNS = ["pairs0", "pairs1", "pairs2", "pairs3"]
+#: Rows of a block of open and of labelled texts.
+OPEN_ROWS, SEED_ROWS = 40_000, 20_000
 #: Links: most bits apart, least edit similarity.
 MOST_BITS_APART, LEAST_SIMILAR = 20, 0.8
 #: Words of a window of a long passage, words from one window to the next, words kept around a trusted sign or beside a slot, and words in which a writer may tell of it.
@@ -153,44 +161,84 @@ def simhash(texts: list[str], gram: int = GRAM) -> np.ndarray:
     return out
 
 
-def fingerprinted(units: DataFrame) -> DataFrame:
-    """(unit, label) with ``h``, the SimHash of the whole unit, in batches."""
+def letter_pairs(texts: list[str]) -> np.ndarray:
+    """The set of each text's letter pairs, hashed to 256 bits: a row of four 64-bit words per text.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = pa.array(simhash(batch.column("unit").to_pylist()).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("label"), h], names=["unit", "label", "h"])
+    An edit takes at most two pairs from a text's set, so of two texts ``d`` edits apart neither has more than ``2 d`` bits that the other lacks.
+    """
+    out = np.zeros((len(texts), len(PAIR_COLUMNS)), dtype=np.uint64)
+    coded = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
+    if sum(map(len, coded)) < 2:
+        return out
+    row = np.repeat(np.arange(len(coded)), [len(c) for c in coded])
+    stream = np.concatenate(coded).astype(np.uint64)
+    inside = row[:-1] == row[1:]
+    h = _mix((stream[:-1] << np.uint64(21)) | stream[1:])[inside]
+    np.bitwise_or.at(out, (row[:-1][inside], ((h >> np.uint64(6)) & np.uint64(3)).astype(int)), np.uint64(1) << (h & np.uint64(63)))
+    return out
 
-    return units.select("unit", "label").mapInArrow(work, "unit string, label int, h bigint")
 
+def fingerprinted(units: DataFrame) -> DataFrame:
+    """(unit, label) with ``h``, the SimHash of the whole unit, and its letter pairs, in batches."""
+    names = ["unit", "label", "h", *PAIR_COLUMNS]
 
-def _keys(h: Column, near: bool) -> Column:
-    """The keys of all tables: the number of the table, and two blocks of the SimHash. With ``near`` also every key one bit off."""
-    block = lambda i: F.shiftrightunsigned(h, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i)]
-    keys = F.array(*(F.lit(t << 2 * BLOCK_BITS).cast("bigint") + F.shiftleft(block(i), BLOCK_BITS) + block(j) for t, (i, j) in enumerate(pairs)))
-    if near:
-        flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << bit).cast("bigint") for bit in range(2 * BLOCK_BITS)))
-        keys = F.flatten(F.transform(keys, lambda k: F.transform(flips, lambda f: k.bitwiseXOR(f))))
-    return keys
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("unit").to_pylist()
+            pairs = letter_pairs(texts).view(np.int64)
+            columns = [pa.array(simhash(texts).view(np.int64)), *(pa.array(pairs[:, i]) for i in range(len(PAIR_COLUMNS)))]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("label"), *columns], names=names)
+
+    return units.select("unit", "label").mapInArrow(work, "unit string, label int, h bigint, " + ", ".join(f"{c} bigint" for c in PAIR_COLUMNS))
+
+
+def _near_in_block(opens: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+    """(id, s_id) of the open and labelled texts of a block whose lengths, SimHashes and letter pairs allow a link."""
+    order = np.argsort(opens["size"].to_numpy(), kind="stable")
+    size, ids = opens["size"].to_numpy()[order], opens["id"].to_numpy()[order]
+    h = opens["h"].to_numpy().view(np.uint64)[order]
+    pairs = opens[PAIR_COLUMNS].to_numpy().view(np.uint64)[order]
+    seed_size, seed_ids, seed_h = seeds["size"].to_numpy(), seeds["id"].to_numpy(), seeds["h"].to_numpy().view(np.uint64)
+    seed_pairs = seeds[PAIR_COLUMNS].to_numpy().view(np.uint64)
+    low = np.searchsorted(size, np.ceil(seed_size * LEAST_SIMILAR - 1e-6), "left")
+    high = np.searchsorted(size, np.floor(seed_size / LEAST_SIMILAR + 1e-6), "right")
+    found, owner = [], []
+    for k in range(len(seeds)):
+        near = low[k] + np.flatnonzero(np.bitwise_count(h[low[k] : high[k]] ^ seed_h[k]) <= MOST_BITS_APART)
+        if len(near):
+            most = 2 * np.floor(np.maximum(size[near], seed_size[k]) * (1 - LEAST_SIMILAR) + 1e-6)
+            p = pairs[near]
+            fits = (np.bitwise_count(p & ~seed_pairs[k]).sum(1) <= most) & (np.bitwise_count(seed_pairs[k] & ~p).sum(1) <= most)
+            found.append(ids[near[fits]])
+            owner.append(np.full(int(fits.sum()), seed_ids[k]))
+    return pd.DataFrame({"id": np.concatenate(found or [np.zeros(0, np.int64)]), "s_id": np.concatenate(owner or [np.zeros(0, np.int64)])})
 
 
 def linked(seeds: DataFrame, others: DataFrame) -> DataFrame:
-    """(unit, seed) of every unit of ``others`` near a seed: met in a table, Hamming distance and edit similarity verified.
+    """(unit, seed) of every unit of ``others`` near a seed: met in a table, Hamming distance, letter pairs and edit similarity verified.
 
-    Two texts meet if in any two of nine blocks of their SimHashes at most one bit differs: surely up to 8
-    bits, mostly beyond. Only numbers go through the tables; a pair that meets often is verified once.
+    Only numbers go through the tables. A length class of any size is split into blocks, so none is one task.
     """
-    s = seeds.select(F.xxhash64("unit").alias("s_id"), F.col("h").alias("s_h"), F.length("unit").alias("s_size"), F.explode(_keys(F.col("h"), True)).alias("key"))
-    o = others.select(F.xxhash64("unit").alias("id"), "h", F.length("unit").alias("size"), F.explode(_keys(F.col("h"), False)).alias("key"))
-    shorter, longer = F.least("size", "s_size"), F.greatest("size", "s_size")
-    close = (F.bit_count(F.col("h").bitwiseXOR(F.col("s_h"))) <= MOST_BITS_APART) & (shorter >= longer * LEAST_SIMILAR)
-    met = o.join(s, "key").where(close).select("id", "s_id").distinct()
+    numbers = ["h", *PAIR_COLUMNS]
+    s = seeds.select(F.xxhash64("unit").alias("id"), F.length("unit").alias("size"), *numbers)
+    o = others.select(F.xxhash64("unit").alias("id"), F.length("unit").alias("size"), *numbers)
+    length_class = F.floor(F.log(1 / LEAST_SIMILAR, F.greatest(F.col("size"), F.lit(1))) + 1e-9).cast("int")
+    o = o.withColumn("class", length_class)
+    s = s.withColumn("class", F.explode(F.array(length_class - 1, length_class, length_class + 1)))
+    # one row a length class: lengths grow by a quarter from class to class, so there are few
+    blocks = o.groupBy("class").agg(F.ceil(F.count("*") / OPEN_ROWS).cast("int").alias("parts")).join(s.groupBy("class").agg(F.ceil(F.count("*") / SEED_ROWS).cast("int").alias("seed_parts")), "class")
+    blocks = bounded_broadcast(written(blocks, "blocks"), 1000)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    o = o.join(blocks, "class").withColumn("part", F.pmod(F.col("id"), F.col("parts")).cast("int")).withColumn("seed_part", every("seed_parts"))
+    s = s.join(blocks, "class").withColumn("seed_part", F.pmod(F.col("id"), F.col("seed_parts")).cast("int")).withColumn("part", every("parts"))
+    key = ["class", "part", "seed_part"]
+    met = o.select(*key, "id", "size", *numbers).groupBy(*key).cogroup(s.select(*key, "id", "size", *numbers).groupBy(*key)).applyInPandas(_near_in_block, "id bigint, s_id bigint")
+    met = written(met, "met")
     texts = met.join(others.select(F.xxhash64("unit").alias("id"), "unit"), "id").join(seeds.select(F.xxhash64("unit").alias("s_id"), F.col("unit").alias("seed")), "s_id")
-    longest = F.greatest(F.length("unit"), F.length("seed"))
     # an empty slot is what such texts share: a text without one is no copy of a text with one
     slots = F.col("unit").contains("§") == F.col("seed").contains("§")
-    return texts.where(slots & (1 - F.levenshtein("unit", "seed") / longest >= LEAST_SIMILAR - 1e-9)).select("unit", "seed")
+    alike = F.expr(f"levenshtein(unit, seed, cast(floor(greatest(length(unit), length(seed)) * (1 - {LEAST_SIMILAR}) + 1e-6) as int)) >= 0")
+    return texts.where(slots & alike).select("unit", "seed")
 
 
 def spread(units: DataFrame) -> DataFrame:
@@ -199,8 +247,8 @@ def spread(units: DataFrame) -> DataFrame:
     Each round links what was labelled last with open units and ends when a component no longer grows. Pairs
     are formed between labelled and open units only, never within a group of alike ones.
     """
-    new = written(units.where("label = 1").select("unit", "h"), "labelled")
-    rest = written(units.where("label = 0").select("unit", "h"), "open")
+    new = written(units.where("label = 1").drop("label"), "labelled")
+    rest = written(units.where("label = 0").drop("label"), "open")
     done = new
     while True:
         reached = written(linked(new, rest).select("unit").distinct(), "reached")
