@@ -1,9 +1,10 @@
 """Implausible readings of numeric series (problem 5).
 
-Per source a hidden Markov model with the states normal, spike, stuck and out-of-range is set up from the
-source's own behaviour (median absolute log step, share of repeated readings). Forward-backward gives each
-reading's probabilities; hard bounds decide out-of-range. Candidates of the model are then held against
-the exact definition of a spike or a stuck run.
+Per source a hidden Markov model with the states normal, spike, stuck and out-of-range: its scale comes from the
+source's own behaviour (median absolute log step, share of repeated readings), its transitions and emissions are
+fitted by a round of expectation and maximisation over all readings of the source. Forward-backward probabilities
+decide the state of each reading, out-of-range by hard bounds; what the model flags is then held against the exact
+definition of a spike or a stuck run.
 
 A series may hold any share of the rows: readings are range-sorted by series and time, so a long series
 spans partitions. A partition settles all readings but those within CONTEXT of where a series may go on
@@ -28,14 +29,18 @@ LEAST, MOST = 0.01, 1_000_000.0
 STEPS, LEAST_SHARE = 6.0, 0.02
 STUCK_RUN, SELDOM = 8, 0.3
 CONTEXT = 32
-#: A reading whose probability of being abnormal is under this isn't looked at again.
-CANDIDATE = 0.02
+#: A reading is in a state if that is more likely than not.
+DECIDED = 0.5
 CHUNK = 256
 KEYS = ["field_name", "source", "series"]
 
-#: Transitions between normal, spike and stuck, and where a series starts.
-_MOVE = np.array([[0.97, 0.015, 0.015], [0.68, 0.30, 0.02], [0.10, 0.01, 0.89]])
-_START = np.array([0.96, 0.02, 0.02])
+#: Where the fit of a source starts, and for how many readings that counts: transitions between normal, spike, stuck and out-of-range, the states of a series' first reading, the width of spikes (log), and how often stuck readings are equal.
+_MOVE = np.array([[0.965, 0.015, 0.015, 0.005], [0.675, 0.30, 0.02, 0.005], [0.10, 0.01, 0.885, 0.005], [0.90, 0.04, 0.01, 0.05]])
+_START = np.array([0.955, 0.02, 0.02, 0.005])
+_WIDTH, _EQUAL, _PRIOR_READINGS = 7.0, 0.99, 200.0
+#: Layout of a source's parameters: median absolute log step, share of repeats, scale of normal deviations, width of spikes, share of equal stuck readings, transitions.
+MAD, REPEATS, SCALE, WIDTH, EQUAL, MOVES = range(6)
+N_PARAMETERS = MOVES + _MOVE.size
 
 
 def _level(v: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -116,13 +121,26 @@ def _run_lengths(s: _Series, raw: np.ndarray) -> np.ndarray:
     return np.bincount(run)[run]
 
 
-def posteriors(group: np.ndarray, deviation: np.ndarray, equal: np.ndarray, sigma: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    """Forward-backward over all series at once; long ones in chunks that overlap by CONTEXT."""
-    n = len(group)
-    r = np.clip(repeats, 0.001, 0.999)
-    normal = -0.5 * (deviation / sigma) ** 2 - np.log(sigma * 2.5066)
-    e = np.stack([normal + np.log(np.where(equal, r, 1 - r)), np.full(n, -np.log(14.0)), normal + np.log(np.where(equal, 0.99, 0.01))], 1)
+def _emissions(deviation: np.ndarray, equal: np.ndarray, inside: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How likely each state shows what was read; ``q`` holds a row of parameters per reading."""
+    r = np.clip(q[:, REPEATS], 0.001, 0.999)
+    k = np.clip(q[:, EQUAL], 0.5, 0.999)
+    normal = -0.5 * (deviation / q[:, SCALE]) ** 2 - np.log(q[:, SCALE] * 2.5066)
+    limit = np.maximum(STEPS * q[:, MAD], np.log1p(LEAST_SHARE))
+    # spikes lie beyond what the source's own steps reach
+    spike = np.where(np.abs(deviation) > 0.98 * limit, -np.log(2 * np.maximum(q[:, WIDTH], limit)), -np.inf)
+    e = np.stack([normal + np.log(np.where(equal, r, 1 - r)), spike, normal + np.log(np.where(equal, k, 1 - k)), np.full(len(q), -np.inf)], 1)
     e = np.exp(e - e.max(axis=1, keepdims=True))
+    e[~inside] = [0.0, 0.0, 0.0, 1.0]
+    return e
+
+
+def posteriors(group: np.ndarray, e: np.ndarray, q: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward-backward over all series at once; long ones in chunks that overlap by CONTEXT.
+
+    Gives the probability of each state and, with ``counts``, the expected transitions out of each reading (4 x 4).
+    """
+    n, states = e.shape
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     length = np.diff(np.r_[first, n])
     chunks = -(-length // CHUNK)
@@ -131,61 +149,87 @@ def posteriors(group: np.ndarray, deviation: np.ndarray, equal: np.ndarray, sigm
     lo = first[owner] + k * CHUNK
     hi = np.minimum(lo + CHUNK, first[owner] + length[owner])
     a, b = np.maximum(lo - CONTEXT, first[owner]), np.minimum(hi + CONTEXT, first[owner] + length[owner])
-    out = np.zeros((n, 3))
+    out = np.zeros((n, states))
+    moved = np.zeros((n, states, states)) if counts else None
     width = 1 << np.ceil(np.log2(np.maximum(b - a, 1))).astype(int)
     for w in np.unique(width):
         mine = np.flatnonzero(width == w)
-        for part in np.array_split(mine, max(1, len(mine) * w // 400_000)):
+        for part in np.array_split(mine, max(1, len(mine) * w // 200_000)):
             index = a[part][:, None] + np.arange(w)[None, :]
             inside = index < b[part][:, None]
             x = np.where(inside[..., None], e[np.minimum(index, n - 1)], 1.0)
+            move = q[a[part], MOVES:].reshape(-1, states, states)
             fwd = np.empty_like(x)
             f = _START * x[:, 0]
             fwd[:, 0] = f / f.sum(1, keepdims=True)
             for t in range(1, w):
-                f = (fwd[:, t - 1] @ _MOVE) * x[:, t]
+                f = (fwd[:, t - 1, :, None] * move).sum(1) * x[:, t]
                 fwd[:, t] = f / f.sum(1, keepdims=True)
-            back = np.ones((len(part), 3))
+            own = inside & (index >= lo[part][:, None]) & (index < hi[part][:, None])
+            back = np.ones((len(part), states))
             for t in range(w - 1, -1, -1):
                 p = fwd[:, t] * back
-                fwd[:, t] = p / p.sum(1, keepdims=True)
+                p /= p.sum(1, keepdims=True)
+                if counts and t:
+                    pair = fwd[:, t - 1, :, None] * move * (x[:, t] * back)[:, None, :]
+                    pair /= pair.sum((1, 2), keepdims=True)
+                    moved[index[own[:, t], t] - 1] = pair[own[:, t]]
                 y = back * x[:, t]
-                back = y @ _MOVE.T
+                back = (move * y[:, None, :]).sum(2)
                 back = np.where(inside[:, t][:, None], back / back.sum(1, keepdims=True), 1.0)
-            own = inside & (index >= lo[part][:, None]) & (index < hi[part][:, None])
+                fwd[:, t] = p
             out[index[own]] = fwd[own]
-    return out
+    if counts:
+        moved[np.r_[first[1:] - 1, n - 1]] = 0.0
+    return out, moved
 
 
-def _judge(group: np.ndarray, raw: np.ndarray, mad: np.ndarray, repeats: np.ndarray, sticky: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of spike and stuck, and the flag ('' for none), for sorted readings within the bounds."""
-    s = _Series(group, np.log(raw))
-    d = _deviation(s)
-    same = np.zeros(len(raw), dtype=bool)
-    step = (raw[1:] == raw[:-1]) & (group[1:] == group[:-1])
-    same[1:] |= step
-    same[:-1] |= step
-    p = posteriors(group, d, same, np.maximum(1.05 * mad, LEAST_SHARE / 6), repeats)
-    spike = (p[:, 1] > CANDIDATE) & _spikes(s, mad)
-    stuck = (p[:, 2] > CANDIDATE) & sticky & (repeats < SELDOM) & (_run_lengths(s, raw) >= STUCK_RUN)
-    return p[:, 1], p[:, 2], np.where(spike, "spike", np.where(stuck, "stuck", ""))
+class _Readings:
+    """Sorted readings with what the model sees of them; those out of range take no part in levels and runs."""
 
+    def __init__(self, group: np.ndarray, raw: np.ndarray, q: np.ndarray):
+        self.group, self.q = group, q
+        self.inside = (raw > LEAST) & (raw < MOST)
+        self.i = np.flatnonzero(self.inside)
+        self.raw = raw[self.i]
+        self.series = _Series(group[self.i], np.log(self.raw))
+        self.deviation, self.equal = np.zeros(len(raw)), np.zeros(len(raw), dtype=bool)
+        if len(self.i):
+            self.deviation[self.i] = _deviation(self.series)
+            same = (self.raw[1:] == self.raw[:-1]) & (self.series.group[1:] == self.series.group[:-1])
+            self.equal[self.i[1:]] |= same
+            self.equal[self.i[:-1]] |= same
+        self.emissions = _emissions(self.deviation, self.equal, self.inside, q)
 
-_OUT = "field_name string, source string, series string, at bigint, value double, p_spike double, p_stuck double, flag string, mad double, repeats double, sticky boolean, open boolean, gap boolean, piece bigint"
 
+def _judge(group: np.ndarray, raw: np.ndarray, q: np.ndarray, sticky: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the states, and the flag ('' for none), for sorted readings; with ``exact`` the definition has a say."""
+    x = _Readings(group, raw, q)
+    p, _ = posteriors(group, x.emissions, q)
+    spike, stuck = p[:, 1] > DECIDED, (p[:, 2] > DECIDED) & sticky & (q[:, REPEATS] < SELDOM)
+    if exact and len(x.i):
+        spike[x.i] &= _spikes(x.series, q[x.i, MAD])
+        stuck[x.i] &= _run_lengths(x.series, x.raw) >= STUCK_RUN
+    return p, np.where(p[:, 3] > DECIDED, "out_of_range", np.where(spike, "spike", np.where(stuck, "stuck", "")))
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_OUT = "field_name string, source string, series string, at bigint, outside boolean, value double, p_spike double, p_stuck double, flag string, parameters array<double>, sticky boolean, open boolean, gap boolean, number bigint"
+
+
+def _parameters(table: pa.Table) -> np.ndarray:
+    return table.column("parameters").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_PARAMETERS)
+
+
+def _settle(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
     """Flags of a partition's readings, and its open readings with their context (flag NULL)."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     table = pa.Table.from_batches(batches).combine_chunks()
     raw = table.column("value").to_numpy()
-    starts = group_starts(table, KEYS)
-    group = np.cumsum(starts) - 1
-    mad, repeats = (table.column(c).to_numpy() for c in ("mad", "repeats"))
+    group = np.cumsum(group_starts(table, KEYS)) - 1
     sticky = table.column("sticky").combine_chunks().to_numpy(zero_copy_only=False)
-    p1, p2, flag = _judge(group, raw, mad, repeats, sticky)
+    p, flag = _judge(group, raw, _parameters(table), sticky, exact)
     n = len(raw)
     is_open, kept, gap = (np.zeros(n, dtype=bool) for _ in range(3))
     head = np.searchsorted(group, 0, "right")  # the first series' readings are [0, head)
@@ -202,10 +246,28 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             continue
         part = table.take(pa.array(i))
-        null = pa.nulls(len(i), pa.string())
-        columns = {"field_name": part["field_name"], "source": part["source"], "series": part["series"], "at": part["at"], "value": part["value"], "p_spike": pa.array(p1[i]), "p_stuck": pa.array(p2[i]), "flag": null if is_context else pa.array(flag[i].tolist(), pa.string()), "mad": part["mad"], "repeats": part["repeats"], "sticky": part["sticky"], "open": pa.array(is_open[i]), "gap": pa.array(gap[i]), "piece": pa.array(np.zeros(len(i), dtype=np.int64))}
-        out = pa.table(columns).combine_chunks()
-        yield from out.to_batches()
+        columns = {c: part[c] for c in (*KEYS, "at", "outside", "value")} | {"p_spike": pa.array(p[i, 1]), "p_stuck": pa.array(p[i, 2]), "flag": pa.nulls(len(i), pa.string()) if is_context else pa.array(flag[i].tolist(), pa.string())}
+        columns |= {"parameters": part["parameters"], "sticky": part["sticky"], "open": pa.array(is_open[i]), "gap": pa.array(gap[i]), "number": pa.array(i)}
+        yield from pa.table(columns).combine_chunks().to_batches()
+
+
+def _expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per field and source, what the states of a partition's readings add up to: the sums that the parameters are fitted to."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    group = np.cumsum(group_starts(table, KEYS)) - 1
+    x = _Readings(group, table.column("value").to_numpy(), _parameters(table))
+    p, moved = posteriors(group, x.emissions, x.q, counts=True)
+    of_source = np.cumsum(group_starts(table, KEYS[:2])) - 1
+    first = np.flatnonzero(np.r_[True, of_source[1:] != of_source[:-1]])
+    normal, spike, stuck = p[:, 0] * x.inside, p[:, 1], p[:, 2]
+    sums = np.column_stack([normal, normal * x.deviation**2, spike, spike * np.abs(x.deviation), stuck, stuck * x.equal, moved.reshape(len(p), -1)])
+    sums = np.add.reduceat(sums, first, axis=0)
+    rows = table.select(KEYS[:2]).take(pa.array(first))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+    yield from pa.table({"field_name": rows["field_name"], "source": rows["source"], "sums": flat}).combine_chunks().to_batches()
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,30 +301,59 @@ def source_behaviour(readings: DataFrame) -> DataFrame:
     return mads.select("field_name", "source", "mad", (F.col("same") / F.col("steps")).alias("repeats"))
 
 
-def implausible(rows: DataFrame) -> DataFrame:
+def _started(behaviour: DataFrame) -> DataFrame:
+    """(field_name, source, parameters) where the fit of each source starts."""
+    mad, repeats = F.coalesce("mad", F.lit(0.0)), F.coalesce("repeats", F.lit(1.0))
+    start = F.array(mad, repeats, F.greatest(1.05 * mad, F.lit(LEAST_SHARE / STEPS)), F.lit(_WIDTH), F.lit(_EQUAL), *(F.lit(float(m)) for m in _MOVE.ravel()))
+    return behaviour.select("field_name", "source", start.alias("parameters"))
+
+
+def _fitted(started: DataFrame, expected: DataFrame) -> DataFrame:
+    """The parameters that fit the expected states best; the starting ones count as much as _PRIOR_READINGS readings."""
+    size = 6 + _MOVE.size
+    sums = expected.groupBy("field_name", "source").agg(F.array(*(F.sum(F.element_at("sums", i + 1)) for i in range(size))).alias("s"))
+    old, s = (lambda i: F.element_at("parameters", i + 1)), (lambda i: F.coalesce(F.element_at("s", i + 1), F.lit(0.0)))
+    share = lambda above, below, prior: (above + _PRIOR_READINGS * prior) / (below + _PRIOR_READINGS)
+    scale = F.greatest(old(SCALE), F.sqrt(share(s(1), s(0), old(SCALE) * old(SCALE))))
+    moves = []
+    for i in range(len(_MOVE)):
+        row = sum((s(6 + i * len(_MOVE) + j) for j in range(len(_MOVE))), F.lit(0.0))
+        moves += [share(s(6 + i * len(_MOVE) + j), row, old(MOVES + i * len(_MOVE) + j)) for j in range(len(_MOVE))]
+    # of a uniform width the mean is the middle
+    fitted = F.array(old(MAD), old(REPEATS), scale, 2 * share(s(3), s(2), old(WIDTH) / 2), share(s(5), s(4), old(EQUAL)), *moves)
+    return started.join(sums, ["field_name", "source"], "left").select("field_name", "source", fitted.alias("parameters"))
+
+
+def implausible(rows: DataFrame, exact: bool = True) -> DataFrame:
     """Flagged rows of (table_name, id, field_name, source, series, at, value, sticky): flag and probabilities added.
 
     ``at`` orders a series (bigint), ``sticky`` tells whether stuck runs are cases in that field. Rows with
     NULL series, time or value are no readings. Repeated rows (same series and time) are one reading, the
     least value, and are all flagged. Zero and negative values are out of range. Sources without two
     neighbouring readings have nothing to measure against: only the hard bounds hold. Empty in, empty out.
+    With ``exact``, spikes and stuck runs of the model must also meet the definition; without, the model alone decides.
     """
-    rows = written(rows.where("series IS NOT NULL AND at IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)"), "readings")
-    low = (F.col("value") <= LEAST) | (F.col("value") >= MOST)
-    outside = rows.where(low).select("table_name", "id", "field_name", F.lit("out_of_range").alias("flag"), F.lit(0.0).alias("p_spike"), F.lit(0.0).alias("p_stuck"))
-    readings = written(rows.where(~low).groupBy(*KEYS, "at").agg(F.min("value").alias("value"), F.max("sticky").alias("sticky")), "series")
-    behaviour = bounded_broadcast(written(source_behaviour(readings), "behaviour"))
-    ready = readings.join(behaviour, ["field_name", "source"])
-    ranged = ready.select(*KEYS, "at", "value", "mad", "repeats", "sticky").repartitionByRange(*KEYS, "at").sortWithinPartitions(*KEYS, "at")
-    settled = written(ranged.mapInArrow(_settle, _OUT), "settled")
+    rows = rows.where("series IS NOT NULL AND at IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    rows = written(rows.withColumn("outside", (F.col("value") <= LEAST) | (F.col("value") >= MOST)), "readings")
+    readings = written(rows.groupBy(*KEYS, "at", "outside").agg(F.min("value").alias("value"), F.max("sticky").alias("sticky")), "series")
+    behaviour = source_behaviour(readings.where("NOT outside"))
+    started = written(_started(readings.select("field_name", "source").distinct().join(behaviour, ["field_name", "source"], "left")), "started")
+    order = [*KEYS, "at", "outside"]
+
+    def sorted_with(parameters: DataFrame) -> DataFrame:
+        ready = readings.join(bounded_broadcast(parameters), ["field_name", "source"])
+        return ready.select(*order, "value", "parameters", "sticky").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    expected = sorted_with(started).mapInArrow(_expected, "field_name string, source string, sums array<double>")
+    fitted = written(_fitted(started, written(expected, "expected")), "parameters")
+    settled = written(sorted_with(fitted).mapInArrow(lambda batches: _settle(batches, exact), _OUT), "settled")
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable").drop_duplicates("at").reset_index(drop=True)
-        p1, p2, flag = _judge(pdf["gap"].cumsum().to_numpy(), pdf["value"].to_numpy(), pdf["mad"].to_numpy(), pdf["repeats"].to_numpy(), pdf["sticky"].to_numpy(dtype=bool))
-        pdf = pdf.assign(p_spike=p1, p_stuck=p2, flag=flag)
+        pdf = pdf.sort_values(["at", "outside"], kind="stable").drop_duplicates(["at", "outside"]).reset_index(drop=True)
+        p, flag = _judge(pdf["gap"].cumsum().to_numpy(), pdf["value"].to_numpy(), np.stack(pdf["parameters"].to_numpy()), pdf["sticky"].to_numpy(dtype=bool), exact)
+        pdf = pdf.assign(p_spike=p[:, 1], p_stuck=p[:, 2], flag=flag)
         return pdf[pdf["open"] & (pdf["flag"] != "")]
 
     borders = settled.where("flag IS NULL").groupBy(*KEYS).applyInPandas(together, _OUT)
-    flags = settled.where("flag IS NOT NULL").unionByName(borders).select(*KEYS, "at", "flag", "p_spike", "p_stuck")
-    inside = rows.where(~low).join(flags, [*KEYS, "at"]).select("table_name", "id", "field_name", "flag", "p_spike", "p_stuck")
-    return outside.unionByName(inside)
+    flags = settled.where("flag IS NOT NULL").unionByName(borders).select(*order, "flag", "p_spike", "p_stuck")
+    return rows.join(flags, order).select("table_name", "id", "field_name", "flag", "p_spike", "p_stuck")

@@ -50,8 +50,8 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_flags(spark: SparkSession, root: str) -> DataFrame:
-    """The same rows with the kind of flag and the model's probabilities."""
-    return spikes.implausible(_price_readings(spark, root)).select("table_name", "id", "field_name", "flag", F.round("p_spike", 4).alias("p_spike"), F.round("p_stuck", 4).alias("p_stuck"))
+    """What the model alone flags, before the definition has a say: kind of flag and probabilities."""
+    return spikes.implausible(_price_readings(spark, root), exact=False).select("table_name", "id", "field_name", "flag", F.round("p_spike", 4).alias("p_spike"), F.round("p_stuck", 4).alias("p_stuck"))
 
 
 def _runs(spark: SparkSession, root: str) -> DataFrame:

@@ -70,7 +70,56 @@ def test_repeats_nulls_and_empty(spark):
     assert _flags(spark, [("t", "1", "f", "s", "one", 1, 5.0, False)]) == {}
 
 
+def _parameters(n, mad=0.01, repeats=0.05):
+    start = [mad, repeats, 1.05 * mad, spikes._WIDTH, spikes._EQUAL, *spikes._MOVE.ravel()]
+    return np.tile(np.array(start, dtype=float), (n, 1))
+
+
 def test_posteriors_sum_to_one():
     n = 700
-    p = spikes.posteriors(np.repeat([0, 1, 2], [600, 1, 99]), np.zeros(n), np.zeros(n, bool), np.full(n, 0.01), np.full(n, 0.05))
-    assert np.allclose(p.sum(1), 1) and (p[:, 0] > 0.9).all()
+    q = _parameters(n)
+    group = np.repeat([0, 1, 2], [600, 1, 99])
+    e = spikes._emissions(np.zeros(n), np.zeros(n, bool), np.ones(n, bool), q)
+    p, moved = spikes.posteriors(group, e, q, counts=True)
+    assert np.allclose(p.sum(1), 1) and p[:, 0].min() > 0.5
+    # every reading but a series' last one moves on once
+    assert np.allclose(np.delete(moved.sum((1, 2)), [599, 600, 699]), 1) and (moved[[599, 600, 699]] == 0).all()
+
+
+def test_chunks_agree_with_one_pass():
+    rng = np.random.default_rng(3)
+    n = 900
+    q, d = _parameters(n), np.where(rng.random(n) < 0.03, 0.5, 0.0)
+    e = spikes._emissions(d, rng.random(n) < 0.2, rng.random(n) > 0.01, q)
+    whole = np.empty((n, 4))
+    move, f = spikes._MOVE, spikes._START * e[0]
+    fwd = [f / f.sum()]
+    for t in range(1, n):
+        f = (fwd[-1] @ move) * e[t]
+        fwd.append(f / f.sum())
+    back = np.ones(4)
+    for t in range(n - 1, -1, -1):
+        whole[t] = fwd[t] * back / (fwd[t] * back).sum()
+        back = move @ (back * e[t])
+        back /= back.sum()
+    assert np.abs(spikes.posteriors(np.zeros(n, int), e, q)[0] - whole).max() < 1e-6
+
+
+def test_the_model_decides(spark, monkeypatch):
+    """Without the model's decision nothing but what it says is left of the exact rule: no spikes, no stuck runs."""
+    rnd = random.Random(5)
+    rows = [r for k in range(30) for r in _rows(f"n{k}", _normal(rnd, 30))]
+    one = _normal(rnd, 30)
+    one[10] = 150.0
+    rows += _rows("one", one)
+    assert _flags(spark, rows) == {"one-10": "spike"}
+    monkeypatch.setattr(spikes, "_emissions", lambda d, equal, inside, q: np.where(inside[:, None], [1.0, 1e-9, 1e-9, 0.0], [0.0, 0.0, 0.0, 1.0]))
+    x = spikes._judge(np.zeros(30, int), np.array(one), _parameters(30), np.ones(30, bool), True)
+    assert (x[1] == "").all()
+
+
+def test_out_of_range_beside_a_reading_of_the_same_time(spark):
+    rnd = random.Random(6)
+    rows = [r for k in range(5) for r in _rows(f"n{k}", _normal(rnd, 20))]
+    rows += [("t", "low", "f", "s", "n0", 3, 0.0, True), ("t", "alone", "f", "other", "x", 1, 2_000_000.0, True), ("t", "null", "f", "s", None, 1, 0.0, True)]
+    assert _flags(spark, rows) == {"low": "out_of_range", "alone": "out_of_range"}
