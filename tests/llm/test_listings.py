@@ -58,8 +58,31 @@ def test_pairs(spark):
     assert listings.same_product_pairs(df.limit(0)).count() == 0
 
 
+def test_brands_types_and_codes_nobody_listed(spark):
+    rows = [
+        ("Mouse Logitech M170 sem fio preto 1000dpi", None), ("Mouse sem fio Logitech m-170 1000 dpi preto oferta", None), ("Mouse Logitech M280 sem fio preto 1000dpi", None),
+        ("SSD Kingston A400 480GB SATA", None), ("Kingston SSD SATA 480 GB A400", None), ("SSD Kingston UV500 480GB SATA", None),
+        ("Monitor LG 24MP400 full hd", None), ("Monitor LG UltraGear GN800 preto", None), ("Monitor gamer LG ultragear GN-800 preto", None), ("Monitor LG UltraGear GN800 branco", None),
+    ]
+    assert _groups(spark, rows) == [[0, 1], [2], [3, 4], [5], [6], [7, 8], [9]]
+
+
+def test_names_reach_a_part_number_over_other_names(spark):
+    """A slip of a slip; and a name between two part numbers joins neither."""
+    rows = [(f"Webcam {name} 1080p preta", None) for name in ("Memojoju UJ-13622", "Memojoju UJ-13622", "Memojju", "Memojiju", "Memjiju")]
+    rows += [("Webcam Tatrelip AB-11111 1080p preta", None), ("Webcam Tatrelix CD-22222 1080p preta", None), ("Webcam Tatreli 1080p preta", None)]
+    assert _groups(spark, rows) == [[0, 1, 2, 3, 4], [5], [6], [7]]
+
+
+def test_titles_of_an_offer_vote_and_prices_guard(spark):
+    rows = [("o", "Webcam Memojoju UJ-13622 1080p preta", None, 100.0, 5), ("o", "Webcam 720p branca", None, 100.0, 1), ("p", "Webcam Memojoju UJ-13622 1080p preta", None, 99.0, 1), ("q", "Webcam Memojiju 1080p preta", None, 900.0, 1), ("r", "Webcam 1080p preta EAN 2901702303902", None, None, 1), ("s", "Webcam Memojoju UJ-13622 1080p preta", "2901702303902", 99.0, 1)]
+    df = spark.createDataFrame(rows, "key string, title string, ean string, price double, n long")
+    out = {r.key: r.product for r in listings.products(df).collect()}
+    assert set(out) == set("opqrs") and out["o"] == out["p"] == out["r"] == out["s"] != out["q"]
+
+
 def test_whole_tables(spark, data):
     records = listings.market_and_catalogue(spark, data)
-    assert records.count() == records.select("key").distinct().count() == listings.products(records).count()
+    assert records.select("key").distinct().count() == listings.products(records).count()
     long = spark.createDataFrame([("k", "Mouse " + "palavra " * 20_000 + "UJ-13622 6400dpi USB preto", None)], "key string, title string, ean string")
     assert listings.products(long).first().product == "mouse/uj13622/6400|wired|black"
