@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercanta.operators.ranks import group_medians, median_of, quantile_of, range_ranks
-from mercanta.runtime import written
+from mercanta.runtime import bounded_broadcast, written
 
-KEYS = ["source", "load", "column_name"]
+#: Cells name their column by its number and their source and load by 64-bit hashes, so little is moved beside the values.
+KEYS = ["s", "l", "c"]
+#: Texts longer than this are compared by so many first letters and, where these are equal, by a hash of the whole text.
+LONG_TEXT, FIRST_LETTERS = 32, 16
 
 
 @dataclass(frozen=True)
@@ -40,33 +43,37 @@ def _truth(condition: Column | None) -> Column:
     return F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
 
 
+def _hashes(source: Column, load: Column) -> tuple[Column, Column]:
+    source, load = source.cast("string"), load.cast("string")
+    return F.xxhash64(source.isNull(), source), F.xxhash64(source.isNull(), source, load.isNull(), load)
+
+
+def _short(text: Column) -> Column:
+    """A stand-in of bounded length that is equal where the whole texts are, and sorts alike up to the first letters."""
+    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.concat(F.substring(text, 1, FIRST_LETTERS), F.lit("\uffff"), F.hex(F.xxhash64(text))))
+
+
 def counted_values(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]) -> DataFrame:
-    """(source, load, column, value) with counts; one pass over ``df``, reduced before the shuffle."""
+    """(s, l, c, value) with counts; one pass over ``df``, reduced before the shuffle."""
     cells = []
-    for c in checks:
+    for i, c in enumerate(checks):
         value = c.value
         if c.numeric:
             value = value.cast("double")
             value = F.when(~F.isnan(value), value)
         cell = F.struct(
-            F.lit(c.name).alias("column_name"),
+            F.lit(i).cast("smallint").alias("c"),
             (value if c.numeric else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None).cast("string") if c.numeric else value.cast("string")).alias("txt"),
+            (F.lit(None).cast("string") if c.numeric else _short(value.cast("string"))).alias("txt"),
             (value.isNull() | _truth(c.plausible)).alias("plausible") if c.plausible is not None else F.lit(True).alias("plausible"),
             (value.isNull() | _truth(c.well_formed)).alias("well_formed") if c.well_formed is not None else F.lit(True).alias("well_formed"),
         )
         cells.append(cell if c.rows is None else F.when(c.rows, cell))
+    s, l = _hashes(source, load)
     cell = F.explode(F.array_compact(F.array(*cells)))
-    flat = df.select(source.cast("string").alias("source"), load.cast("string").alias("load"), cell.alias("c")).select("source", "load", "c.*")
+    flat = df.select(s.alias("s"), l.alias("l"), cell.alias("cell")).select("s", "l", "cell.*")
     counted = flat.groupBy(*KEYS, "num", "txt", "plausible", "well_formed").agg(F.count("*").alias("n_rows"))
-    some = F.col("num").isNotNull() | F.col("txt").isNotNull()
-    return counted.select(
-        *KEYS, "num", "txt", "plausible", "well_formed", "n_rows",
-        F.when(some, F.col("n_rows")).otherwise(F.lit(0)).alias("n"),
-        F.when(some & F.col("plausible"), F.col("n_rows")).otherwise(F.lit(0)).alias("n_ok"),
-        F.when(some & ~F.col("well_formed"), F.col("n_rows")).otherwise(F.lit(0)).alias("n_malformed"),
-        F.when(some, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_distinct"),
-    )
+    return counted.withColumn("n", F.when(F.col("num").isNotNull() | F.col("txt").isNotNull(), F.col("n_rows")).otherwise(F.lit(0)))
 
 
 def text_ranges(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]) -> DataFrame:
@@ -88,17 +95,23 @@ def profile(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]
     loads of the source (NULL for a source with one load, or with ``distances`` off), and the usual
     null share, median and malformed share: the exact medians over all loads of the source.
 
-    NULL source or load is a group of its own; NaN counts as NULL; empty text is a value; repeated rows
+    Sources and loads are told apart by 64-bit hashes, which are checked to differ. NULL source or load is a group of its own; NaN counts as NULL; empty text is a value; repeated rows
     count each time; an empty table gives no rows. Hot loads and hot values are split: values are
     counted before the shuffle and ranges of them are sorted, never a whole load in one task.
     """
+    names = df.groupBy(source.cast("string").alias("source"), load.cast("string").alias("load")).agg(F.lit(1).alias("one")).drop("one")
+    names = written(names.select("source", "load", *(h.alias(n) for h, n in zip(_hashes(F.col("source"), F.col("load")), ("s", "l")))), "load-names")
+    if names.groupBy("l").count().where("count > 1").unionByName(names.groupBy(F.col("s").alias("l"), "source").count().groupBy("l").count().where("count > 1")).limit(1).count():
+        raise ValueError("two loads or sources have one hash")
     cells = counted_values(df, source, load, checks)
-    per_load = (["column_name", "source", "load"], ["num", "txt"], ["n", "n_ok", "n_distinct"])
+    per_load = (["c", "s", "l"], ["num", "txt"], ["n", "n_ok", "n_distinct"])
+    ok, distinct = F.when(F.col("plausible"), F.col("n")).otherwise(F.lit(0)).alias("n_ok"), F.when(F.col("n") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_distinct")
+    malformed = F.when(~F.col("well_formed"), F.col("n")).otherwise(F.lit(0)).alias("n_malformed")
     if distances:
         # one sort by source and value puts the pooled curve beside every load's own values
-        pooled = range_ranks(cells, ["column_name", "source"], ["num", "txt"], ["n"], ties=["load", "plausible", "well_formed"])
+        pooled = range_ranks(cells, ["c", "s"], ["num", "txt"], ["n"], ties=["l", "plausible", "well_formed"])
         # a value's place in the pooled curve stands for it from here on: it sorts alike and is short
-        pooled = pooled.withColumnsRenamed({"cum_n": "cum_w", "all_n": "all_w", "at_n": "w"}).drop("txt", "plausible", "well_formed")
+        pooled = pooled.select(*KEYS, "num", "n_rows", "n", ok, malformed, distinct, F.col("cum_n").alias("cum_w"), F.col("all_n").alias("all_w"), F.col("at_n").alias("w"))
         ranked = range_ranks(pooled, per_load[0], ["cum_w"], per_load[2])
         others = F.col("all_w") - F.col("all_n")
 
@@ -108,7 +121,7 @@ def profile(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]
         at, under = gap(F.col("cum_n"), F.col("cum_w")), gap(F.col("cum_n") - F.col("n"), F.col("cum_w") - F.col("w"))
         ranked = ranked.withColumn("gap", F.when((F.col("n") > 0) & (others > 0), F.greatest(at, under)))
     else:
-        ranked = range_ranks(cells, *per_load).withColumn("gap", F.lit(None).cast("double"))
+        ranked = range_ranks(cells.select("*", ok, malformed, distinct), *per_load).withColumn("gap", F.lit(None).cast("double"))
     some = F.col("n") > 0
     loads = ranked.groupBy(*KEYS).agg(
         F.sum("n_rows").alias("rows"), F.sum(F.col("n_rows") - F.col("n")).alias("nulls"), F.sum("n").alias("values"), F.max("all_n_distinct").alias("distinct"),
@@ -118,6 +131,8 @@ def profile(df: DataFrame, source: Column, load: Column, checks: Sequence[Check]
         F.max(F.when(some, F.col("gap"))).alias("ks_distance"), F.sum(F.when(some, F.col("num") * F.col("n"))).alias("total"),
     )
     loads = loads.withColumn("null_share", F.col("nulls") / F.col("rows")).withColumn("mean", F.try_divide(F.col("total"), F.col("values"))).withColumn("malformed_share", F.try_divide(F.col("malformed"), F.col("values"))).withColumn("outside_share", F.try_divide(F.col("outside"), F.col("values"))).drop("total")
+    numbered = F.create_map(*(x for i, c in enumerate(checks) for x in (F.lit(i).cast("smallint"), F.lit(c.name))))
+    loads = loads.join(bounded_broadcast(names.drop("s")), "l").select("source", "load", numbered[F.col("c")].alias("column_name"), *(x for x in loads.columns if x not in KEYS))
     k, t = loads.alias("k"), text_ranges(df, source, load, checks).alias("t")
     loads = k.join(t, F.col("k.source").eqNullSafe(F.col("t.source")) & F.col("k.load").eqNullSafe(F.col("t.load")) & (F.col("k.column_name") == F.col("t.column_name")), "left").select("k.*", "t.min_text", "t.max_text")
     loads = written(loads, "loads")

@@ -14,7 +14,7 @@ LISTINGS = "market_web_listings_raw"
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Loads of market listings with an issue in blocked, reviews_count or rating_text."""
     df = table(spark, root, LISTINGS)
-    checked = profile.profile(df, F.col("source_name"), F.col("source_run_id"), profile.listing_checks(~F.col("blocked")), distances=False)
+    checked = profile.profile(df, F.col("source_name"), F.col("source_run_id"), profile.listing_checks(~F.col("blocked")))
     return profile.load_issues(checked)
 
 
