@@ -3,7 +3,7 @@ import random
 import pyspark.sql.functions as F
 import pytest
 
-from mercanta.operators.snapshots import latest_rows, snapshot_changes
+from mercanta.operators.snapshots import latest_rows, leaf_digests, snapshot_changes
 
 
 @pytest.mark.parametrize("leaf_rows", [1, 64])
@@ -30,3 +30,12 @@ def test_empty_snapshots_nulls_and_latest_row(spark):
     assert snapshot_changes(df.limit(0), order).count() == 0
     twice = spark.createDataFrame([("a", "k", 1, 5.0, "x"), ("a", "k", 2, None, "y"), ("a", "k", 2, None, "y")], "snapshot string, key string, at int, profit double, value string")
     assert [r.value for r in latest_rows(twice, "snapshot", "key", F.col("at"), F.col("profit")).collect()] == [None]
+
+
+def test_stored_digests_give_the_same_changes(spark):
+    rows = [(s, f"k{i}", float(i + (s == "c" and i % 50 == 0))) for s in "abc" for i in range(400) if (s, i) != ("b", 7)]
+    df = spark.createDataFrame(rows, "snapshot string, key string, value double")
+    order = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "snapshot string, at int")
+    found = lambda **more: {(r.snapshot, r.key, r.change_kind, r.old_value, r.new_value) for r in snapshot_changes(df, order, **more).collect()}
+    want = {("b", "k7", "removed", 7.0, None), ("c", "k7", "added", None, 7.0), *(("c", f"k{i}", "changed", float(i), float(i + 1)) for i in range(0, 400, 50))}
+    assert found() == found(stored=leaf_digests(df.where("snapshot != 'c'"), 2), depth=2) == want
