@@ -9,44 +9,79 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from mercanta.functions import attributes, text
 from mercanta.operators.relational import top_per_key
-from mercanta.runtime import written
+from mercanta.runtime import bounded_broadcast, written
 
 #: Fixed values of the match: candidates and matches kept per product, and the least score of a match.
 CANDIDATES, MATCHES, LEAST_SCORE = 350, 60, 42.0
+#: Tokens of products that are broadcast at most.
+BROADCAST_TOKENS = 200_000
 
 
-def described(df: DataFrame, key: str, title: str, price: str) -> DataFrame:
-    """key, price, normalised title, tokens and attributes of each row; rows without tokens are left out."""
-    rows = df.select(F.col(key).alias("key"), F.col(price).cast("double").alias("price"), text.normalized(F.col(title)).alias("norm"))
+def _read(rows: DataFrame) -> DataFrame:
+    """Tokens and attributes of ``norm``; rows without tokens are left out."""
     rows = rows.withColumn("tokens", text.tokens(F.col("norm"))).where(F.size("tokens") > 0)
     return rows.withColumn("attrs", F.struct(*(c.alias(n) for n, c in attributes.product_attributes(F.col("norm")).items())))
 
 
-def useful_tokens(evidence: DataFrame, most: int | None = None) -> DataFrame:
-    """(token, key) of evidence without tokens that more than max(120, n/4) rows have."""
-    pairs = evidence.select("key", F.explode("tokens").alias("token"))
-    counts = pairs.groupBy("token").agg(F.count("*").alias("n"))
-    limit = max(120, evidence.count() // 4) if most is None else most
-    return pairs.join(counts.where(F.col("n") <= limit).select("token"), "token", "left_semi")
+def described(df: DataFrame, key: str, title: str, price: str) -> DataFrame:
+    """key, price, normalised title, tokens and attributes of each row; rows without tokens are left out."""
+    return _read(df.select(F.col(key).alias("key"), F.col(price).cast("double").alias("price"), text.normalized(F.col(title)).alias("norm")))
+
+
+def titles_of(evidence: DataFrame) -> DataFrame:
+    """(title_id, norm, rows, tokens, attrs): evidence rows of one normalised title are read once, with their number."""
+    titles = evidence.groupBy("norm").agg(F.count("*").alias("rows"))
+    return _read(titles).withColumn("title_id", F.monotonically_increasing_id())
 
 
-def candidates(products: DataFrame, evidence: DataFrame, most: int = CANDIDATES, most_common: int | None = None) -> DataFrame:
-    """(p_key, e_key, overlap, first_position): per product the evidence that shares most tokens.
+def numbered(products: DataFrame) -> DataFrame:
+    """Products with a number, by which their many pairs are counted."""
+    return written(products.withColumn("p_id", F.monotonically_increasing_id()), "products")
 
-    Ties go to the token that comes first in the product, then to the evidence key. Pairs are counted on
-    the map side; the frequency limit is part of the definition. AQE splits tokens that are still skewed.
+
+def useful_tokens(products: DataFrame, titles: DataFrame, most: int | None = None) -> DataFrame:
+    """(token, p_id, position) of products without tokens that no evidence has or more than max(120, n/4) of its rows."""
+    counts = titles.select("rows", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("rows").alias("n"))
+    limit = max(120, (titles.agg(F.sum("rows")).first()[0] or 0) // 4) if most is None else most
+    tokens = products.select("p_id", F.posexplode("tokens").alias("position", "token"))
+    return tokens.join(counts.where(F.col("n") <= limit).select("token"), "token", "left_semi")
+
+
+def overlaps(products: DataFrame, titles: DataFrame, most_common: int | None = None) -> DataFrame:
+    """(p_id, title_id, rows, overlap, first_position): what each numbered product shares with each title.
+
+    Where the products' tokens are few enough to be broadcast, a title meets them in one place and its pairs are
+    counted there; else tokens are joined by shuffle. The frequency limit is part of the definition.
     """
-    left = products.select(F.col("key").alias("p_key"), F.posexplode("tokens").alias("position", "token"))
-    right = useful_tokens(evidence, most_common).withColumnRenamed("key", "e_key")
-    pairs = left.join(right, "token").groupBy("p_key", "e_key").agg(F.count("*").alias("overlap"), F.min("position").alias("first_position"))
-    return top_per_key(pairs, ["p_key"], [F.desc("overlap"), F.col("first_position"), F.col("e_key")], most)
+    left = bounded_broadcast(written(useful_tokens(products, titles, most_common), "tokens"), BROADCAST_TOKENS)
+    # titles are short but their pairs are many: the number of parts is given, else few would be made of them
+    parts = 4 * int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = titles.repartition(parts, "title_id", "rows").select("title_id", "rows", F.explode("tokens").alias("token"))
+    return right.join(left, "token").groupBy("title_id", "rows", "p_id").agg(F.count("*").alias("overlap"), F.min("position").alias("first_position"))
+
 
+def candidates(products: DataFrame, evidence: DataFrame, titles: DataFrame, most: int = CANDIDATES, most_common: int | None = None) -> DataFrame:
+    """(p_key, title_id, e_key, price): per numbered product the evidence rows that share most tokens.
 
-def _score(p: str, e: str, ratio: Column) -> Column:
-    """Similarity from 0 to 100 of two described rows, given the ratio of their texts."""
+    Ties go to the token that comes first in the product, then to the evidence key. Titles are ranked first: only those
+    that the cut can reach are expanded to their rows, so hot titles stay one row until then.
+    """
+    pairs = written(overlaps(products, titles, most_common), "overlaps")
+    tie = ["p_id", "overlap", "first_position"]
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("p_id").orderBy(F.desc("overlap"), "first_position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = pairs.groupBy(*tie).agg(F.sum("rows").alias("rows")).withColumn("before", before).where(F.col("before") < most).select(*tie)
+    rows = evidence.join(titles.select("norm", "title_id"), "norm").select("title_id", F.col("key").alias("e_key"), "price")
+    expanded = pairs.join(reached, tie, "left_semi").drop("rows").join(rows, "title_id")
+    best = top_per_key(expanded, ["p_id"], [F.desc("overlap"), F.col("first_position"), F.col("e_key")], most)
+    return best.join(products.select("p_id", F.col("key").alias("p_key")), "p_id").select("p_key", "title_id", "e_key", "price")
+
+
+def _score(p: str, e: str, ratio: Column, e_price: Column | None = None) -> Column:
+    """Similarity from 0 to 100 of two described rows, given the ratio of their texts; without a price of the evidence, the most it can be."""
     s, t = F.col(f"{p}.tokens"), F.col(f"{e}.tokens")
     generic = F.array(*(F.lit(w) for w in text.GENERIC))
     special = F.array_except(s, generic)
@@ -55,7 +90,7 @@ def _score(p: str, e: str, ratio: Column) -> Column:
     base = base + 0.15 * F.least(F.lit(1.0), special_both / F.greatest(F.lit(1), F.least(F.size(special), F.lit(5))))
     models_p, models_e = text.model_tokens(s), text.model_tokens(t)
     apart = F.when(F.size(models_p) == 0, 1.0).when(F.size(models_e) == 0, 0.82).when(F.arrays_overlap(models_p, models_e), 1.0).otherwise(0.35)
-    dear = (F.col(f"{p}.price") < 15) & (F.col(f"{e}.price") > 20 * F.col(f"{p}.price"))
+    dear = F.lit(False) if e_price is None else (F.col(f"{p}.price") < 15) & (e_price > 20 * F.col(f"{p}.price"))
     factor = F.when(both < 2, 0.45).otherwise(1.0) * F.when((F.size(special) > 0) & (special_both == 0), 0.72).otherwise(1.0) * apart
     factor = factor * attributes.conflict_penalty(attributes.conflicts(F.col(f"{p}.attrs"), F.col(f"{e}.attrs"))) * F.when(dear, 0.85).otherwise(1.0)
     return F.when(both == 0, 0.0).otherwise(F.round(F.least(F.lit(100.0), 100 * base * factor), 2))
@@ -71,15 +106,16 @@ def text_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def matches(products: DataFrame, evidence: DataFrame, most_common: int | None = None) -> DataFrame:
     """(p_key, e_key, score, price, rank): the best matches of each product from the least score on.
 
-    Pairs that can't reach the least score even with equal texts are left out before the text comparison:
-    the ratio adds at most a fifth and every factor is at most 1.
+    Texts are compared once a product and title. Pairs that can't reach the least score even with equal texts are
+    left out before: the ratio adds at most a fifth and every factor is at most 1.
     """
-    products, evidence = written(products, "products"), written(evidence, "evidence")
-    c = candidates(products, evidence, most_common=most_common)
-    pairs = c.join(products.alias("p"), F.col("p_key") == F.col("p.key")).join(evidence.alias("e"), F.col("e_key") == F.col("e.key"))
-    possible = written(pairs.where(_score("p", "e", F.lit(1.0)) >= LEAST_SCORE).select(F.struct("p.*").alias("p"), F.struct("e.*").alias("e")), "possible")
-    rated = written(possible.select("p", "e", text_ratio("p.norm", "e.norm").alias("ratio")), "rated")
-    scored = rated.select(F.col("p.key").alias("p_key"), F.col("e.key").alias("e_key"), F.col("e.price").alias("price"), _score("p", "e", F.col("ratio")).alias("score")).where(F.col("score") >= LEAST_SCORE)
+    products, evidence = numbered(products), written(evidence.select("key", "price", "norm"), "evidence")
+    titles = written(titles_of(evidence), "titles")
+    c = written(candidates(products, evidence, titles, most_common=most_common), "candidates")
+    pairs = c.select("p_key", "title_id").distinct().join(products.alias("p"), F.col("p_key") == F.col("p.key")).join(titles.withColumnRenamed("title_id", "t_id").alias("e"), F.col("title_id") == F.col("e.t_id"))
+    possible = written(pairs.where(_score("p", "e", F.lit(1.0)) >= LEAST_SCORE).select("p_key", "title_id", F.struct("p.*").alias("p"), F.struct("e.*").alias("e")), "possible")
+    rated = written(possible.select("p_key", "title_id", "p", "e", text_ratio("p.norm", "e.norm").alias("ratio")), "rated")
+    scored = c.join(rated, ["p_key", "title_id"]).select("p_key", "e_key", "price", _score("p", "e", F.col("ratio"), F.col("price")).alias("score")).where(F.col("score") >= LEAST_SCORE)
     return top_per_key(scored, ["p_key"], [F.desc("score"), F.desc("price"), F.col("e_key")], MATCHES)
 
 

@@ -611,7 +611,7 @@ def X12_conflicts(spark, root):
 
 def _sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     products = relational.best_per_key(table(spark, root, CATALOGUE).where("supplier_price > 0").select("id", "raw_title", "supplier_price", "supplier_slug", "source_product_key", "fetched_at"), ["supplier_slug", "source_product_key"], [F.desc_nulls_last("fetched_at"), F.desc("id")])
-    goods = relational.best_per_key(table(spark, root, "mercado_livre_items_raw").where("price > 0").select("id", "external_id", "title", "price", "fetched_at"), ["external_id"], [F.desc("fetched_at"), F.desc("id")])
+    goods = evidence(spark, root).select(F.concat_ws("/", "source_order", "id").alias("id"), "title", "price")
     return matching.described(products, "id", "raw_title", "supplier_price"), matching.described(goods, "id", "title", "price")
 
 
@@ -619,20 +619,21 @@ _SIDE = lambda source, title: "list_distinct(" + _TOKENS.replace("raw_title", ti
 
 
 @query(f"""WITH p AS (SELECT id, {_SIDE('p', 'raw_title')} AS t FROM supplier_products_normalized WHERE supplier_price > 0 QUALIFY row_number() OVER (PARTITION BY supplier_slug, source_product_key ORDER BY fetched_at DESC NULLS LAST, id DESC) = 1),
-e AS (SELECT id, {_SIDE('e', 'title')} AS t FROM mercado_livre_items_raw WHERE price > 0 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY fetched_at DESC, id DESC) = 1),
-pt AS (SELECT id, unnest(t) AS token FROM p), et AS (SELECT id, unnest(t) AS token FROM e), n AS (SELECT token FROM et GROUP BY token HAVING count(*) <= greatest(120, (SELECT count(*) FROM e WHERE len(t) > 0) // 4))
-SELECT pt.id AS p_key, max(c) AS best_overlap, count(*) AS partners FROM (SELECT pt.id, et.id AS e, count(*) AS c FROM pt JOIN n USING (token) JOIN et USING (token) GROUP BY ALL) pt GROUP BY pt.id""")
+e AS (SELECT source_order, id, {_SIDE('e', 'title')} AS t FROM ({_EVIDENCE})),
+pt AS (SELECT id, unnest(t) AS token FROM p), et AS (SELECT source_order, id, unnest(t) AS token FROM e), n AS (SELECT token FROM et GROUP BY token HAVING count(*) <= greatest(120, (SELECT count(*) FROM e WHERE len(t) > 0) // 4))
+SELECT pt.id AS p_key, max(c) AS best_overlap, count(*) AS partners FROM (SELECT pt.id, et.source_order, et.id AS e, count(*) AS c FROM pt JOIN n USING (token) JOIN et USING (token) GROUP BY ALL) pt GROUP BY pt.id""")
 def J08_token_overlap(spark, root):
-    """The token-blocked join, before its cut: best overlap and number of partners of each product."""
+    """The token-blocked join with all evidence, before its cut: best overlap and number of partners of each product."""
     left, right = _sides(spark, root)
-    tokens = left.select(F.col("key").alias("p_key"), F.explode("tokens").alias("token"))
-    pairs = tokens.join(matching.useful_tokens(right).withColumnRenamed("key", "e_key"), "token").groupBy("p_key", "e_key").agg(F.count("*").alias("c"))
-    return pairs.groupBy("p_key").agg(F.max("c").alias("best_overlap"), F.count("*").alias("partners"))
+    left = matching.numbered(left)
+    pairs = matching.overlaps(left, written(matching.titles_of(right), "titles"))
+    best = pairs.groupBy("p_id").agg(F.max("overlap").alias("best_overlap"), F.sum("rows").alias("partners"))
+    return best.join(left.select("p_id", F.col("key").alias("p_key")), "p_id").select("p_key", "best_overlap", "partners")
 
 
 @query()
 def G03_best_matches(spark, root):
-    """Fuzzy matches of supplier products to marketplace items."""
+    """Fuzzy matches of supplier products to listings, price history and marketplace items."""
     return matching.matches(*_sides(spark, root))
 
 

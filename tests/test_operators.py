@@ -33,7 +33,7 @@ def test_matches_against_brute_force(spark):
     products, evidence = make(left), make(right)
     got = {(r.p_key, r.e_key): r.score for r in matching.matches(products, evidence).collect()}
     pairs = products.alias("p").crossJoin(evidence.alias("e")).select(F.struct("p.*").alias("p"), F.struct("e.*").alias("e"), matching.text_ratio("p.norm", "e.norm").alias("ratio"))
-    want = {(r.a, r.b): r.s for r in pairs.select(F.col("p.key").alias("a"), F.col("e.key").alias("b"), matching._score("p", "e", F.col("ratio")).alias("s")).collect() if r.s >= matching.LEAST_SCORE}
+    want = {(r.a, r.b): r.s for r in pairs.select(F.col("p.key").alias("a"), F.col("e.key").alias("b"), matching._score("p", "e", F.col("ratio"), F.col("e.price")).alias("s")).collect() if r.s >= matching.LEAST_SCORE}
     assert got == want and got
     details = matching.match_details(matching.matches(products, evidence), most=2).collect()
     assert {r.p_key for r in details} == {p for p, _ in got} and all(1 <= r.details.count("e_key") <= 2 for r in details)
@@ -42,6 +42,16 @@ def test_matches_against_brute_force(spark):
     assert matching.matches(products.limit(0), evidence).count() == 0
 
 
+def test_candidates_cut_rows_of_titles(spark):
+    """The cut counts rows: of a title that straddles it, the first rows by key stay."""
+    make = lambda r: matching.described(spark.createDataFrame(r, "id string, t string, price double"), "id", "t", "price")
+    products = matching.numbered(make([("p", "mouse gamer m170 preto", 10.0)]))
+    evidence = make([(f"a{i}", "mouse m170", 1.0) for i in range(5)] + [("b", "mouse gamer m170 preto", 1.0), ("c", "preto", 1.0)] + [(f"d{i}", "gamer mouse", 1.0) for i in range(4)])
+    titles = evidence.sparkSession.createDataFrame(matching.titles_of(evidence).collect(), matching.titles_of(evidence).schema)
+    got = {r.e_key for r in matching.candidates(products, evidence, titles, most=8).collect()}
+    assert got == {"b", *(f"a{i}" for i in range(5)), "d0", "d1"}
+
+
 def test_price_levels(spark):
     df = spark.createDataFrame([("p", 60.0, float(x), i + 1) for i, x in enumerate([10, 20, 30, 40])] + [("p", 50.0, 1000.0, 5)], "p_key string, score double, price double, rank int")
     row = matching.price_levels(df).first()
