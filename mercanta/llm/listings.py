@@ -182,7 +182,7 @@ def extracted(records: DataFrame) -> DataFrame:
 
 def _shortened(line: Column) -> Column:
     """The name and the name without one letter, for each letter: names one typing slip apart share one."""
-    return F.array_distinct(F.concat(F.array(line), F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.lit(99))))))
+    return F.array_distinct(F.concat(F.array(line), F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line))))))
 
 
 def _clash(left: Column, right: Column) -> Column:
