@@ -134,6 +134,26 @@ def quantile_of(value: str, weight: str, share: float) -> Column:
     return at_rank(F.col(value), w, cum, F.greatest(F.lit(1), F.ceil(n * F.lit(share))))
 
 
+def interpolated(value: str, weight: str, share: float) -> Column:
+    """Aggregate over ``range_ranks`` rows: the percentile, linear between the two values it falls between."""
+    n, w, cum = F.col(f"all_{weight}"), F.coalesce(F.col(weight), F.lit(0)), F.col(f"cum_{weight}")
+    place = (n - 1) * F.lit(share)
+    low = F.floor(place)
+    a, b = at_rank(F.col(value), w, cum, low + 1), at_rank(F.col(value), w, cum, F.ceil(place) + 1)
+    return a + (b - a) * F.max(place - low)
+
+
+def moments(value: str, weight: str) -> list[Column]:
+    """Aggregates for ``population_deviation`` of weighted values: n, mean and sum of squares."""
+    v, w = F.col(value), F.col(weight)
+    return [F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"), F.sum(v * v * w).alias("squares")]
+
+
+def population_deviation() -> Column:
+    """The population standard deviation of ``moments``."""
+    return F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - F.col("mean") * F.col("mean")))
+
+
 def group_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """The exact median of ``value`` in each group, for groups of any size. NULL values don't count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))

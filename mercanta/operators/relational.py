@@ -87,7 +87,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after every character that isn't a letter or digit, as the reference database's function does it."""
     parts = F.split(F.lower(text), r"(?<=[^\p{L}\p{N}])")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
 def precision_recall_at(scored: DataFrame, score: str, label: str, tie: str, at: Sequence[int] = (10, 25, 50)) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercanta.functions import attributes, numbers, text
-from mercanta.operators import matching, ml, relational, warehouse
+from mercanta.operators import matching, ml, ranks, relational, warehouse
 from mercanta.runtime import table, written
 from mercanta.sources import readers, sinks
 
@@ -300,16 +300,21 @@ def A05_product_prices(spark, root):
 @query("""SELECT query, round(quantile_cont(CAST(price AS DOUBLE), 0.35), 2) AS p35, round(median(CAST(price AS DOUBLE)), 2) AS middle, round(stddev_pop(CAST(price AS DOUBLE)) / median(CAST(price AS DOUBLE)), 4) AS dispersion, count(DISTINCT source_name) AS sources
 FROM market_web_listings_raw WHERE NOT blocked AND price > 0.01 AND price < 1000000 GROUP BY query HAVING count(*) >= 4""")
 def A07_price_levels(spark, root):
-    """Interpolated percentile, median, dispersion and distinct sources per query."""
+    """Interpolated percentile, median, dispersion and distinct sources per query (A08 to A11); a query of any size is spread over tasks."""
     rows = table(spark, root, LISTINGS).where("NOT blocked AND price > 0.01 AND price < 1000000").select("query", "source_name", F.col("price").cast("double").alias("price"))
-    return rows.groupBy("query").agg(F.round(F.percentile("price", F.lit(0.35)), 2).alias("p35"), F.round(F.median("price"), 2).alias("middle"), F.round(F.stddev_pop("price") / F.median("price"), 4).alias("dispersion"), F.countDistinct("source_name").alias("sources"), F.count("*").alias("n")).where("n >= 4").drop("n")
+    sources = rows.groupBy("query", "source_name").agg(F.count("*").alias("n")).groupBy("query").agg(F.count("source_name").alias("sources"))
+    counts = rows.groupBy("query", "price").agg(F.count("*").alias("n"))
+    levels = ranks.range_ranks(counts, ["query"], ["price"], ["n"]).groupBy("query").agg(ranks.interpolated("price", "n", 0.35).alias("p35"), ranks.median_of("price", "n").alias("median"), *ranks.moments("price", "n"))
+    levels = levels.where("n >= 4").select("query", F.round("p35", 2).alias("p35"), F.round("median", 2).alias("middle"), F.round(ranks.population_deviation() / F.col("median"), 4).alias("dispersion"))
+    l, s = levels.alias("l"), sources.alias("s")
+    return l.join(s, F.col("l.query").eqNullSafe(F.col("s.query"))).select("l.*", "s.sources")
 
 
 @query("""SELECT id, query, CAST(price AS DOUBLE) AS price, round(median(CAST(price AS DOUBLE)) OVER (PARTITION BY query), 2) AS query_median, count(*) OVER (PARTITION BY query) AS query_offers FROM price_history_raw p, LATERAL (SELECT current_price AS price) WHERE NOT blocked AND current_price > 0""")
 def W10_group_statistics(spark, root):
     """Statistics of each group on every row: aggregated, then joined back, so no group sits in one window."""
     rows = table(spark, root, HISTORY).where("NOT blocked AND current_price > 0").select("id", "query", F.col("current_price").cast("double").alias("price"))
-    stats = rows.groupBy("query").agg(F.round(F.median("price"), 2).alias("query_median"), F.count("*").alias("query_offers"))
+    stats = ranks.group_medians(rows, ["query"], "price").select("query", F.round("median", 2).alias("query_median"), F.col("n").alias("query_offers"))
     r, s = rows.alias("r"), stats.alias("s")
     return r.join(s, F.col("r.query").eqNullSafe(F.col("s.query"))).select("r.id", "r.query", "r.price", "s.query_median", "s.query_offers")
 
@@ -483,12 +488,13 @@ def H02_normalized(spark, root):
     return table(spark, root, LISTINGS).select("id", text.normalized(F.col("title")).alias("title"))
 
 
-@query(f"SELECT id, array_to_string(list_filter({_TOKENS}, lambda w: regexp_matches(w, '[0-9]')), ' ') AS model_tokens, len(list_distinct({_TOKENS})) <= 5 AND len(list_filter({_TOKENS}, lambda w: regexp_matches(w, '[0-9]'))) = 0 AND len(list_filter(list_distinct({_TOKENS}), lambda w: NOT list_contains(['adaptador','audio','cabo','carregador','combo','controle','femea','fio','fone','gamer','hub','kit','macho','mouse','notebook','para','preto','sem','suporte','teclado','usb','video','wireless'], w))) <= 1 AS generic FROM supplier_products_normalized WHERE len(list_distinct({_TOKENS})) = len({_TOKENS})")
+@query(f"""SELECT id, array_to_string(list_filter(t, lambda w: regexp_matches(w, '[0-9]')), ' ') AS model_tokens, len(t) <= 5 AND len(list_filter(t, lambda w: regexp_matches(w, '[0-9]'))) = 0
+  AND len(list_filter(t, lambda w: NOT list_contains(['adaptador','audio','cabo','carregador','combo','controle','femea','fio','fone','gamer','hub','kit','macho','mouse','notebook','para','preto','sem','suporte','teclado','usb','video','wireless'], w))) <= 1 AS generic
+ FROM (SELECT id, list_filter(e, lambda w, i: list_position(e, w) = i) AS t FROM (SELECT id, {_TOKENS} AS e FROM supplier_products_normalized))""")
 def H03_tokens(spark, root):
-    """Tokens, model tokens and generic titles (H04, H06) of rows whose words don't repeat."""
-    rows = table(spark, root, CATALOGUE).select("id", text.normalized(F.col("raw_title")).alias("n")).withColumn("t", text.tokens(F.col("n")))
-    every = F.filter(F.split("n", " "), lambda w: (w != "") & (w.rlike("[0-9]") | (F.length(w) >= 3)) & ~w.isin(text.STOPWORDS))
-    return rows.where(F.size("t") == F.size(every)).select("id", F.array_join(text.model_tokens(F.col("t")), " ").alias("model_tokens"), text.is_generic_title(F.col("t")).alias("generic"))
+    """Tokens without repeats in their order, model tokens and generic titles."""
+    rows = table(spark, root, CATALOGUE).select("id", text.tokens(text.normalized(F.col("raw_title"))).alias("t"))
+    return rows.select("id", F.array_join(text.model_tokens(F.col("t")), " ").alias("model_tokens"), text.is_generic_title(F.col("t")).alias("generic"))
 
 
 @query("""SELECT id, CASE WHEN nullif(trim(ean), '') IS NOT NULL THEN left(supplier_slug || ':ean:' || trim(ean), 240) WHEN nullif(trim(sku), '') IS NOT NULL THEN left(supplier_slug || ':sku:' || trim(sku), 240)
@@ -587,12 +593,18 @@ def X01_attributes(spark, root):
     return table(spark, root, CATALOGUE).select("id", F.array_join(a["colors"], ",").alias("colors"), F.array_join(a["storage_interfaces"], ",").alias("storage"), F.array_join(a["connector_interfaces"], ",").alias("connectors"), joined(a["capacities"]).alias("capacities"), joined(a["memory_generations"]).alias("memory"), joined(a["power_watts"]).alias("watts"))
 
 
-@query(f"""SELECT id, {_ALL(r"\b(110 ?v|127 ?v|220 ?v)\b")} AS volts, CASE WHEN regexp_matches(p, ' (mousepad|mouse pad) ') THEN array_to_string(list_filter(string_split({_HAS(attributes.TYPES)}, ','), lambda x: x <> 'mouse'), ',') ELSE {_HAS(attributes.TYPES)} END AS types FROM (SELECT id, {_AT} AS p FROM supplier_products_normalized WHERE NOT regexp_matches({_NORM_TITLE}, '\\bbivolt\\b'))""")
+_LIST = lambda pattern, group=1: f"list_transform(regexp_extract_all(p, '{pattern}', {group}), lambda x: replace(x, ' ', ''))"
+_SORTED = lambda list_: f"array_to_string(list_sort(list_distinct({list_})), ',')"
+
+
+@query(f"""SELECT id, {_SORTED("list_concat(CASE WHEN regexp_matches(p, ' bivolt ') THEN ['bivolt'] ELSE [] END, " + _LIST(r"\b(110 ?v|127 ?v|220 ?v)\b") + ")")} AS volts,
+ CASE WHEN regexp_matches(p, ' (mousepad|mouse pad) ') THEN array_to_string(list_filter(string_split({_HAS(attributes.TYPES)}, ','), lambda x: x <> 'mouse'), ',') ELSE {_HAS(attributes.TYPES)} END AS types,
+ {_SORTED("list_concat(" + _LIST(r"\b(?:kit|pack|pacote|combo) ?(?:com|de)? ?(\d{{1,3}})\b".replace("{{", "{").replace("}}", "}")) + ", " + _LIST(r"\b(\d{{1,3}}) ?(?:pecas|pcs|unidades|un)\b".replace("{{", "{").replace("}}", "}")) + ")")} AS packs FROM (SELECT id, {_AT} AS p FROM supplier_products_normalized)""")
 def X03_types(spark, root):
-    """Product types and voltages (X03, X08) of titles that don't say bivolt; X10 and X11 are tested on fixtures."""
-    norm = text.normalized(F.col("raw_title"))
-    a = attributes.product_attributes(norm)
-    return table(spark, root, CATALOGUE).where(~norm.rlike(r"\bbivolt\b")).select("id", F.array_join(F.array_sort(a["voltages"]), ",").alias("volts"), F.array_join(a["product_types"], ",").alias("types"))
+    """Product types, voltages and pack quantities (X03, X08, X10) of all titles; X11 is tested on fixtures."""
+    a = attributes.product_attributes(text.normalized(F.col("raw_title")))
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return table(spark, root, CATALOGUE).select("id", joined(a["voltages"]).alias("volts"), F.array_join(a["product_types"], ",").alias("types"), joined(a["pack_quantities"]).alias("packs"))
 
 
 @query()
@@ -670,10 +682,10 @@ def K05_upserted_current(spark, root):
     return relational.best_per_key(rows, ["supplier_product_id"], [F.desc("started_at"), F.desc("id")]).select("supplier_product_id", "id")
 
 
-@query("""SELECT id, replace(CAST(supplier_price AS VARCHAR), '.', ',') AS supplier_price, coalesce(array_to_string(risk_flags, ' | '), '') AS risk_flags, coalesce(recommendation, '') AS recommendation, coalesce(CAST(market_offer_count AS VARCHAR), '') AS market_offer_count FROM decision_opportunity_snapshots WHERE supplier_price IS NOT NULL""")
+@query("""SELECT id, coalesce(replace(CAST(supplier_price AS VARCHAR), '.', ','), '') AS supplier_price, coalesce(array_to_string(risk_flags, ' | '), '') AS risk_flags, coalesce(recommendation, '') AS recommendation, coalesce(CAST(market_offer_count AS VARCHAR), '') AS market_offer_count FROM decision_opportunity_snapshots""")
 def K14_extract_format(spark, root):
     """Opportunities in the format of the BI extracts."""
-    rows = table(spark, root, SNAPSHOTS).where("supplier_price IS NOT NULL").select("id", "supplier_price", "risk_flags", "recommendation", "market_offer_count")
+    rows = table(spark, root, SNAPSHOTS).select("id", "supplier_price", "risk_flags", "recommendation", "market_offer_count")
     return rows.select(*sinks.extract_columns(rows))
 
 
@@ -706,11 +718,14 @@ def L01_class_counts(spark, root):
     return ml.class_counts(ml.feature_rows(table(spark, root, SNAPSHOTS)))
 
 
-@query("""SELECT id, coalesce(CAST(supplier_price AS DOUBLE), 0) AS supplier_price, coalesce(CAST(net_margin_pct AS DOUBLE), 0) AS net_margin_pct, CAST(coalesce(len(risk_flags), 0) AS DOUBLE) AS risk_flag_count, CAST(coalesce(estimated_market_price, 0) > 0 AS DOUBLE) AS has_market_price,
- CAST(coalesce(market_source_count, 0) >= 2 AS DOUBLE) AS has_multiple_market_sources FROM decision_opportunity_snapshots""")
+_NUMBERS = "supplier_price estimated_market_price estimated_net_profit net_margin_pct total_fee_pct market_offer_count market_source_count price_history_count mercado_livre_count demand_score match_confidence".split()
+
+
+@query(f"""SELECT id, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0) AS {c}' for c in _NUMBERS)}, CAST(coalesce(len(risk_flags), 0) AS DOUBLE) AS risk_flag_count, CAST(coalesce(estimated_market_price, 0) > 0 AS DOUBLE) AS has_market_price, CAST(coalesce(net_margin_pct, 0) > 0 AS DOUBLE) AS has_positive_margin,
+ CAST(coalesce(market_source_count, 0) >= 2 AS DOUBLE) AS has_multiple_market_sources, CAST(coalesce(price_history_count, 0) > 0 AS DOUBLE) AS has_price_history, CASE confidence_level WHEN 'alta' THEN 1.0::DOUBLE WHEN 'media' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM decision_opportunity_snapshots""")
 def P13_features(spark, root):
-    """Features of all snapshots."""
-    return ml.feature_rows(table(spark, root, SNAPSHOTS)).select("id", "supplier_price", "net_margin_pct", "risk_flag_count", "has_market_price", "has_multiple_market_sources")
+    """All sixteen features and the teacher weight of all snapshots."""
+    return ml.feature_rows(table(spark, root, SNAPSHOTS)).drop("class", "label")
 
 
 @query()
