@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mercanta.functions.text import has_term
+from mercanta.functions.text import has_term, normalized
 
 #: Brands, product types and colours by the terms that name them.
 BRANDS = {
@@ -56,6 +61,42 @@ def product_attributes(t: Column) -> dict[str, Column]:
     }
 
 
+#: Names of payload values that describe a product, names that lead on to more, and how deep, how far into lists and how many.
+DESCRIBING = ["name", "title", "product_name", "description", "modelo", "model", "brand", "line", "product_type", "reference", "codigo", "value_name", "value_id"]
+LEADING_ON = ["product", "attributes", "catalog_sections"]
+DEEPEST, LIST_ITEMS, MOST_VALUES = 4, 40, 80
+
+
+def _describing(payload: str | None) -> list[str]:
+    try:
+        value = json.loads(payload) if payload else None
+    except ValueError:
+        return []
+    said, waiting = [], deque([(value, 0)])
+    while waiting and len(said) < MOST_VALUES:
+        x, depth = waiting.popleft()
+        more = []
+        if isinstance(x, dict):
+            said += [str(x[k]) for k in DESCRIBING if isinstance(x.get(k), (str, int, float)) and str(x[k]).strip()]
+            more = [x[k] for k in LEADING_ON if k in x]
+        elif isinstance(x, list):
+            more = x[:LIST_ITEMS]
+        if depth < DEEPEST:
+            waiting.extendleft((y, depth + 1) for y in reversed(more))
+    return said
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def payload_values(payloads: pd.Series) -> pd.Series:
+    """The describing values of payloads, in reading order; unreadable ones have none."""
+    return payloads.map(_describing)
+
+
+def described_by(title: Column, payload: Column) -> dict[str, Column]:
+    """Attributes of a title together with what its payload says."""
+    return product_attributes(normalized(F.concat_ws(" ", title, F.array_join(payload_values(payload), " "))))
+
+
 def conflicts(left: Column, right: Column) -> Column:
     """Names of the attributes that both sides have and that share no value. ``left`` and ``right`` are structs of the arrays."""
     found = []

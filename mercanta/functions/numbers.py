@@ -101,3 +101,14 @@ def first_of(*columns: Column) -> Column:
 def first_truthy(columns: Sequence[Column]) -> Column:
     """The first number that is neither NULL nor 0, as ``or`` chains pick it."""
     return F.coalesce(*(F.nullif(c, F.lit(0)) for c in columns))
+
+
+def any_price(text: Column) -> Column:
+    """A price in plain or in Brazilian form: plain first."""
+    return F.coalesce(spaces(text).try_cast("double"), to_double(text))
+
+
+def elapsed(seconds: Column) -> Column:
+    """A duration as short text: seconds, minutes, hours or days, whole ones; NULL is a dash."""
+    whole = lambda per, unit: F.concat(F.floor(seconds / per).cast("string"), F.lit(unit))
+    return F.when(seconds.isNull(), "-").when(seconds < 60, whole(1, "s")).when(seconds < 3600, whole(60, "min")).when(seconds < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))

@@ -53,6 +53,40 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written beside its place and moved there, on whatever file system the path names."""
+    fs, where = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new-{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.delete(where, False)
+    fs.rename(beside, where)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The content of a small text file, None if there is none."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    return "\n".join(r["value"] for r in small_rows(spark.read.text(path), 10_000))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder, for files that a query writes and reads again."""
+    return f"{shared_dir(spark)}/mercanta/{label}-{uuid.uuid4().hex}"
+
+
 def bounded_broadcast(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     """``df`` marked for broadcast if a count proves it small; else as it is, for a shuffled join."""
     from pyspark.sql import functions as F

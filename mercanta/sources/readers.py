@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -32,6 +33,29 @@ def read_csv_strings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
+def first_picture(payload: Column) -> Column:
+    """The URL of an item's first picture."""
+    return F.get_json_object(payload, "$.pictures[0].url")
+
+
+def blocked_snapshot(rows: DataFrame, reason: Column) -> DataFrame:
+    """The row that stands for a page that could not be read: keys kept, prices NULL, the reason said."""
+    none = F.lit(None).cast("decimal(12,2)")
+    return rows.select("id", "source_name", "product_key", "product_url", none.alias("current_price"), none.alias("min_price"), none.alias("max_price"), F.lit(True).alias("blocked"), F.coalesce(reason, F.lit("blocked")).alias("block_reason"))
+
+
+def with_catalogue(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Items with the name and domain of the catalogue product they belong to; items without one keep their own title."""
+    p = products.select("product_id", "product_name", "domain_id")
+    return items.join(p, "product_id", "left").withColumn("title", F.when(F.trim("title") != "", F.col("title")).otherwise(F.col("product_name")))
+
+
+def is_expired_token(message: Column) -> Column:
+    """Whether an error says that the access token isn't valid any more."""
+    low = F.lower(message)
+    return F.coalesce(low.contains("invalid") & low.contains("access") & low.contains("token"), F.lit(False))
+
+
 def read_catalogue(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON list of objects. Anything that isn't such a list fails."""
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
@@ -214,11 +238,11 @@ class _ReplayPage(InputPartition):
 
 
 class _ReplayReader(DataSourceReader):
-    """Reads saved API answers page by page: one partition per query, offsets until an empty page or the page limit."""
+    """Reads saved API answers page by page: one partition per query, offsets until an empty page, or until a page limit if one is given."""
 
     def __init__(self, options: dict):
         self.folder, self.queries = options["folder"], json.loads(options["queries"])
-        self.most_pages = int(options.get("most_pages", "50"))
+        self.most_pages = int(options.get("most_pages", "0"))
 
     def partitions(self) -> list[InputPartition]:
         return [_ReplayPage(self.folder, q) for q in self.queries]
@@ -226,7 +250,7 @@ class _ReplayReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pathlib import Path
 
-        for page in range(self.most_pages):
+        for page in itertools.count() if not self.most_pages else range(self.most_pages):
             path = Path(partition.folder) / f"{partition.query}-{page}.json"
             if not path.exists():  # a search that ends, or that has no winners, is an empty one
                 return
@@ -251,7 +275,7 @@ class SavedSearches(DataSource):
         return _ReplayReader(dict(self.options))
 
 
-def saved_searches(spark: SparkSession, folder: str, queries: list[str], most_pages: int = 50) -> DataFrame:
+def saved_searches(spark: SparkSession, folder: str, queries: list[str], most_pages: int = 0) -> DataFrame:
     spark.dataSource.register(SavedSearches)
     return spark.read.format("saved_searches").option("folder", folder).option("queries", json.dumps(queries)).option("most_pages", str(most_pages)).load()
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercanta.runtime import written
+from mercanta.runtime import bounded_broadcast, exists, read_text, write_text, written
 
 
 def first_of_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -37,15 +36,24 @@ def without_stale(current: DataFrame, run_column: str, run: str) -> DataFrame:
     return current.where(F.col(run_column).eqNullSafe(F.lit(run)))
 
 
-def append_ignore(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], order: Sequence[Column]) -> dict[str, int]:
-    """Append what the key lets in; returns extracted, loaded and skipped counts. A second run of the same batch loads 0."""
-    exists = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+def append_ignore(spark: SparkSession, path: str, batch: DataFrame, key: Sequence[str], order: Sequence[Column], day: str | None = None) -> dict[str, int]:
+    """Append what the key lets in; returns extracted, loaded and skipped counts. A second run of the same batch loads 0.
+
+    With ``day``, a column of the key, the table is partitioned by it and only the days of the batch are read.
+    """
+    there = exists(spark, path)
     batch = written(batch, "batch")
-    fresh = new_rows(spark.read.parquet(path), batch, key, order) if exists else first_of_key(batch, key, order)
+    if there:
+        stored = spark.read.parquet(path)
+        if day:
+            stored = stored.join(bounded_broadcast(batch.select(day).distinct()), day, "left_semi")
+        fresh = new_rows(stored, batch, key, order)
+    else:
+        fresh = first_of_key(batch, key, order)
     fresh = written(fresh, "fresh")
     extracted, loaded = batch.count(), fresh.count()
-    if loaded or not exists:
-        fresh.write.mode("append").parquet(path)
+    if loaded or not there:
+        (fresh.write.partitionBy(day) if day else fresh.write).mode("append").parquet(path)
     return {"extracted": extracted, "loaded": loaded, "skipped": extracted - loaded}
 
 
@@ -53,22 +61,20 @@ class VersionedTable:
     """A table whose versions are folders; readers take the version that the pointer file names."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
 
     def version(self) -> int:
-        pointer = self.root / "CURRENT"
-        return int(pointer.read_text()) if pointer.exists() else 0
+        return int(read_text(self.spark, f"{self.root}/CURRENT") or 0)
 
     def read(self) -> DataFrame | None:
         v = self.version()
-        return self.spark.read.parquet(str(self.root / f"v{v}")) if v else None
+        return self.spark.read.parquet(f"{self.root}/v{v}") if v else None
 
     def replace(self, df: DataFrame) -> int:
         """Write a new version, then move the pointer: readers see the old rows or the new ones, never a mixture."""
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(str(self.root / f"v{v}"))
-        (self.root / "CURRENT.new").write_text(str(v))
-        (self.root / "CURRENT.new").rename(self.root / "CURRENT")
+        df.write.mode("overwrite").parquet(f"{self.root}/v{v}")
+        write_text(self.spark, f"{self.root}/CURRENT", str(v))
         return v
 
     def upsert(self, batch: DataFrame, key: Sequence[str]) -> int:
@@ -100,20 +106,22 @@ def extract_columns(df: DataFrame) -> list[Column]:
 def write_extract(df: DataFrame, path: str, single: bool = False) -> int:
     """Write ``df`` as ``;``-separated UTF-8 text with a header; returns the row count. ``single``: one file, for small extracts."""
     out = written(df.select(*extract_columns(df)), "extract")
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("sep", ";").option("emptyValue", "").csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").options(header=True, sep=";", escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return out.count()
 
 
 def write_fields(df: DataFrame, fields: Sequence[str], path: str) -> None:
     """Write the given fields as ``,``-separated text; fields that ``df`` lacks are empty, others are left out."""
-    df.select(*(F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields)).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_extracts(extracts: dict[str, DataFrame], folder: str) -> dict:
     """Write named extracts and a manifest with their row counts."""
     counts = {name: write_extract(df, f"{folder}/{name}") for name, df in sorted(extracts.items())}
     manifest = {"files": counts, "rows": sum(counts.values())}
-    (Path(folder) / "manifest.json").write_text(json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True), encoding="utf-8")
+    some = next(iter(extracts.values()), None)
+    if some is not None:
+        write_text(some.sparkSession, f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2, sort_keys=True))
     return manifest
 
 

@@ -74,3 +74,17 @@ def test_attribute_lists(spark):
     assert a[0].a.product_types == ["mousepad"] and a[0].a.colors == ["black"] and a[0].a.pack_quantities == ["3"]
     assert a[1].a.capacities == ["480gb"] and a[1].a.storage_interfaces == ["nvme", "m2"]
     assert a[2].a.brands == ["logitech"] and "m170" in a[2].a.model_codes and a[2].a.pack_quantities == ["5"]
+
+
+def test_payload_adds_brand_and_model(spark):
+    payload = '{"product": {"name": "Mouse sem fio", "attributes": [{"id": "BRAND", "value_name": "Logitech"}, {"id": "MODEL", "value_name": "M170"}]}}'
+    rows = spark.createDataFrame([("Mouse Wireless", payload), ("Mouse Wireless", None), (None, "{"), ("Mouse", "[1, null, {\"title\": \"hub\"}]")], "t string, p string")
+    a = attributes.described_by(F.col("t"), F.col("p"))
+    out = [(r.brands, r.codes) for r in rows.select(a["brands"].alias("brands"), a["model_codes"].alias("codes")).collect()]
+    assert out == [(["logitech"], ["m170"]), ([], []), ([], []), ([], [])]
+
+
+def test_elapsed_and_any_price(spark):
+    rows = spark.createDataFrame([(59, "12.5"), (61, "1.234,50"), (7300, "R$ 9,90"), (90000, "x"), (None, None)], "s long, t string")
+    out = rows.select(numbers.elapsed(F.col("s")).alias("e"), numbers.any_price(F.col("t")).alias("p")).collect()
+    assert [(r.e, r.p) for r in out] == [("59s", 12.5), ("1min", 1234.5), ("2h", 9.9), ("1d", None), ("-", None)]
