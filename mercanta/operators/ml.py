@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercanta.operators.relational import average_precision, best_per_key
+from mercanta.operators.ranks import range_ranks
+from mercanta.operators.relational import average_precision, best_per_key, surrogate_keys
 from mercanta.runtime import written
 
 NUMBERS = ["supplier_price", "estimated_market_price", "estimated_net_profit", "net_margin_pct", "total_fee_pct", "market_offer_count", "market_source_count", "price_history_count", "mercado_livre_count", "demand_score", "match_confidence"]
@@ -47,13 +48,32 @@ def positive_weight(positives: int, negatives: int) -> float:
     return max(1.0, negatives / max(1, positives))
 
 
+def _place_in_label(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds the place of each row among those of its label, in an order by hash (from 1), and the number of these."""
+    keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("id").cast("string"))).withColumn("_one", F.lit(1).cast("long"))
+    return range_ranks(keyed, ["label"], ["_h", "id"], ["_one"]).withColumnsRenamed({"cum__one": "_place", "all__one": "_rows"}).drop("_h", "_one")
+
+
 def with_folds(rows: DataFrame, folds: int, seed: int = 42) -> DataFrame:
-    """A fold per row, stratified by label in expectation: by a hash of seed, label and id, so no class is sorted in one task."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col("label"), F.col("id").cast("string")), F.lit(folds)).cast("int"))
+    """A fold per row, stratified: each label's rows in an order by hash are dealt out in turn. Ranges are sorted, no class in one task."""
+    return _place_in_label(rows, seed).withColumn("fold", F.pmod(F.col("_place"), F.lit(folds)).cast("int")).drop("_place", "_rows")
+
+
+def with_holdout(rows: DataFrame, share: float = 0.25, seed: int = 42) -> DataFrame:
+    """``held`` tells the rows held out: this share of each label, rounded up."""
+    return _place_in_label(rows, seed + 1).withColumn("held", F.col("_place") <= F.ceil(F.col("_rows") * share)).drop("_place", "_rows")
+
+
+def training_rows(rows: DataFrame, least_rows: int = 10, least_positives: int = 1) -> DataFrame:
+    """The rows to train on; too few of them, or of positives, is an error."""
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
+    if n["n"] < least_rows or n["p"] < least_positives:
+        raise ValueError(f"{n['n']} rows with {n['p']} positives are too few to train on")
+    return rows
 
 
-def candidates(seed: int = 42) -> dict[str, list]:
-    """Stages of each candidate model. Boosted trees stand in for two libraries that aren't there, in two settings."""
+def candidates(seed: int = 42, trees: int = 300, rounds: tuple[int, int] = (180, 300)) -> dict[str, list]:
+    """Stages of each candidate model. Boosted trees stand in, in two settings, for two libraries that aren't there."""
     imputed = [f"{c}_filled" for c in FEATURES]
     head = [Imputer(inputCols=FEATURES, outputCols=imputed, strategy="median"), VectorAssembler(inputCols=imputed, outputCol="raw")]
     scaled = [*head, StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
@@ -61,8 +81,9 @@ def candidates(seed: int = 42) -> dict[str, list]:
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight"}
     return {
         "logistic_regression": [*scaled, LogisticRegression(**common, maxIter=50)],
-        "random_forest": [*plain, RandomForestClassifier(**common, numTrees=50, maxDepth=10, minInstancesPerNode=3, seed=seed)],
-        "boosted_trees": [*plain, GBTClassifier(**common, maxIter=20, maxDepth=5, stepSize=0.1, seed=seed)],
+        "random_forest": [*plain, RandomForestClassifier(**common, numTrees=trees, maxDepth=10, minInstancesPerNode=3, seed=seed)],
+        "boosted_trees": [*plain, GBTClassifier(**common, maxIter=rounds[0], maxDepth=5, stepSize=0.06, seed=seed)],
+        "boosted_trees_long": [*plain, GBTClassifier(**common, maxIter=rounds[1], maxDepth=4, stepSize=0.04, subsamplingRate=0.9, seed=seed)],
     }
 
 
@@ -78,8 +99,11 @@ def bounded(rows: DataFrame, most: int | None = FIT_ROWS, seed: int = 42) -> Dat
 
 
 def synthetic_positives(positives: DataFrame, copies: int, noise: float = 0.08, weight: float = 0.30, seed: int = 42) -> DataFrame:
-    """Jittered copies of positive rows within sensible bounds; profit and flags are worked out again, weights reduced."""
-    rows = positives.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))) if copies > 0 else positives.limit(0).withColumn("copy", F.lit(0))
+    """Jittered rows drawn with replacement, ``copies`` times as many as there are positives, within sensible bounds; profit and flags are worked out again, weights reduced."""
+    numbered = written(surrogate_keys(positives, ["id"], "_n"), "positives")
+    n = numbered.count()
+    drawn = positives.sparkSession.range(1, n * copies + 1).select(F.col("id").alias("copy"), (F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(1, n))) + 1).alias("_n"))
+    rows = drawn.join(numbered, "_n").select(*positives.columns, "copy")
     unit = lambda name: (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id").cast("string"), F.col("copy")), F.lit(1_000_003)) + 0.5) / 1_000_003
     normal = lambda name: F.sqrt(-2 * F.ln(unit(name))) * F.cos(2 * F.pi() * unit(name + "'"))
     jitter = lambda c: F.greatest(F.lit(0.0), F.col(c) * (1 + noise * normal(c)))
@@ -127,9 +151,8 @@ def select_model(measured: dict[str, dict[str, float]], synthetic_gain: float =
     return max(allowed, key=lambda n: (allowed[n]["average_precision"], allowed[n]["f1"]))
 
 
-def permuted_importance(model, rows: DataFrame, features: Sequence[str] = FEATURES, seed: int = 42) -> dict[str, float]:
-    """Loss of average precision when one feature's values are exchanged among the rows, by a hash-ordered shift."""
-    from mercanta.operators.relational import surrogate_keys
+def permuted_importance(model, rows: DataFrame, features: Sequence[str] = FEATURES, seed: int = 42, repeats: int = 5) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of the loss of average precision when one feature's values are exchanged among the rows, by hash-ordered shifts."""
 
     def ap(df: DataFrame) -> float:
         return average_precision(model.transform(df).select("label", vector_to_array("probability")[1].alias("score")), "score", "label").first()["average_precision"]
@@ -139,11 +162,55 @@ def permuted_importance(model, rows: DataFrame, features: Sequence[str] = FEATUR
     n = numbered.count()
     out = {}
     for i, name in enumerate(features):
-        moved = numbered.select(((F.col("_n") + (i + 1) * 7919) % n + 1).alias("_n"), F.col(name).alias("_v"))
-        out[name] = base - ap(numbered.join(moved, "_n").withColumn(name, F.col("_v")).drop("_v"))
+        lost = []
+        for r in range(repeats):
+            moved = numbered.select(((F.col("_n") + (i * repeats + r + 1) * 7919) % n + 1).alias("_n"), F.col(name).alias("_v"))
+            lost.append(base - ap(numbered.join(moved, "_n").withColumn(name, F.col("_v")).drop("_v")))
+        mean = sum(lost) / repeats
+        out[name] = (mean, (sum((x - mean) ** 2 for x in lost) / repeats) ** 0.5)
+    return out
+
+
+def own_importance(model, features: Sequence[str] = FEATURES) -> dict[str, float]:
+    """What the model itself says of its features: size of coefficients or gain of splits."""
+    last = model.stages[-1]
+    values = last.featureImportances if hasattr(last, "featureImportances") else [abs(c) for c in last.coefficients]
+    return {name: float(values[i]) for i, name in enumerate(features)}
+
+
+def measured_candidates(rows: DataFrame, stages: dict[str, list], folds: int, synthetic: int = 0) -> dict[str, dict[str, float]]:
+    """Out-of-fold metrics of every candidate, plain and with synthetic positives, for ``select_model``."""
+    out = {}
+    for name, parts in stages.items():
+        for copies in (0, synthetic) if synthetic else (0,):
+            out[name + ("+synthetic" if copies else "")] = metrics(written(out_of_fold(rows, parts, folds, copies), "scored"))
     return out
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Keep a fitted model on whatever file system the path names."""
+    model.write().overwrite().save(path)
+
+
+def scored_by(path: str, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(id, label, score, predicted) of rows by a kept model."""
+    score = vector_to_array("probability")[1]
+    return PipelineModel.load(path).transform(rows).select("id", "label", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+
+
+def model_run(spark: SparkSession, run_id: str, name: str, path: str, measured: dict[str, float]) -> DataFrame:
+    """The audit row of a training run: model, place and metrics as JSON; it is only ever appended."""
+    import json
+
+    return spark.createDataFrame([(run_id, name, path, json.dumps(measured, sort_keys=True))], "run_id string, model_name string, model_path string, metrics string")
+
+
+def model_card(name: str, measured: dict[str, float], importance: dict[str, float]) -> str:
+    """A short report of a model: its metrics and its features by weight."""
+    lines = [f"# {name}", "", *(f"* {k}: {v:.4f}" if isinstance(v, float) else f"* {k}: {v}" for k, v in sorted(measured.items())), "", "| feature | weight |", "| --- | --- |"]
+    return "\n".join([*lines, *(f"| {f} | {w:.4f} |" for f, w in sorted(importance.items(), key=lambda x: -x[1]))])
+
+
 def latest_feature_rows(snapshots: DataFrame) -> DataFrame:
     """Features of the latest snapshot of each supplier product."""
     latest = best_per_key(snapshots, ["supplier_product_id"], [F.desc("generated_at"), F.desc("id")])

@@ -103,8 +103,39 @@ def test_importance_finds_the_telling_feature(spark):
 
     rows = _examples(spark)
     model = Pipeline(stages=ml.candidates()["logistic_regression"]).fit(rows)
-    lost = ml.permuted_importance(model, rows, ["match_confidence", "supplier_price"])
-    assert lost["match_confidence"] > 0.2 > abs(lost["supplier_price"])
+    lost = ml.permuted_importance(model, rows, ["match_confidence", "supplier_price"], repeats=2)
+    assert lost["match_confidence"][0] > 0.2 > abs(lost["supplier_price"][0])
+    own = ml.own_importance(model)
+    assert max(own, key=own.get) == "match_confidence"
+
+
+def test_folds_and_holdout_are_stratified(spark):
+    rows = _examples(spark)
+    counts = {(r.fold, r.label): r["count"] for r in ml.with_folds(rows, 4).groupBy("fold", "label").count().collect()}
+    assert set(counts.values()) == {8, 32} and len(counts) == 8
+    held = {(r.held, r.label): r["count"] for r in ml.with_holdout(rows, 0.25).groupBy("held", "label").count().collect()}
+    assert held == {(True, 1.0): 8, (False, 1.0): 24, (True, 0.0): 32, (False, 0.0): 96}
+    try:
+        ml.training_rows(rows.where("label = 0"))
+        raise AssertionError("no positives")
+    except ValueError:
+        pass
+
+
+def test_kept_models_score_alike(spark, tmp_path):
+    from pyspark.ml import Pipeline
+
+    rows = _examples(spark)
+    stages = ml.candidates(trees=5, rounds=(2, 3))
+    assert list(stages) == ["logistic_regression", "random_forest", "boosted_trees", "boosted_trees_long"]
+    model = Pipeline(stages=stages["random_forest"]).fit(rows)
+    ml.save_model(model, str(tmp_path / "m"))
+    kept = {r.id: r.predicted for r in ml.scored_by(str(tmp_path / "m"), rows).collect()}
+    assert kept == {r.id: int(r.prediction) for r in model.transform(rows).collect()}
+    measured = ml.measured_candidates(ml.with_folds(rows, 2), {"logistic_regression": stages["logistic_regression"]}, 2, synthetic=1)
+    assert set(measured) == {"logistic_regression", "logistic_regression+synthetic"} and ml.select_model(measured) in measured
+    assert ml.model_run(spark, "1", "m", "p", measured["logistic_regression"]).count() == 1
+    assert "match_confidence" in ml.model_card("m", measured["logistic_regression"], ml.own_importance(model))
 
 
 def test_stream_appends_once(spark, data, tmp_path):
