@@ -68,13 +68,10 @@ def price_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return answers(levels)
 
 
-def measured_error(spark: SparkSession, root: str) -> DataFrame:
-    """For the answers over all days: the exact range of ranks that each answered value holds, and how far off it is."""
-    keys = ["metric", "source", "query"]
-    whole = written(answers(combined(combined(sketches(price_values(spark, root), [*keys, "day"], "value"), [*keys, "day"]), keys)), "answers")
-    asked = whole.select(*keys, "n", "rank_error", F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), F.col(f"p{round(s * 100):02d}").alias("answer")) for s in SHARES))).alias("a")).select(*keys, "n", "rank_error", "a.*")
-    values = price_values(spark, root).groupBy(*keys, "value").agg(F.count("*").alias("c"))
-    v, a = values.alias("v"), asked.alias("a")
+def _exact_ranks(values: DataFrame, answered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The exact range of ranks that each answered value of a group holds, and how far off it is."""
+    asked = answered.select(*keys, "n", "rank_error", F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), F.col(f"p{round(s * 100):02d}").alias("answer")) for s in SHARES))).alias("a")).select(*keys, "n", "rank_error", "a.*")
+    v, a = values.groupBy(*keys, "value").agg(F.count("*").alias("c")).alias("v"), asked.alias("a")
     same = F.lit(True)
     for k in keys:
         same &= F.col(f"v.{k}").eqNullSafe(F.col(f"a.{k}"))
@@ -82,3 +79,17 @@ def measured_error(spark: SparkSession, root: str) -> DataFrame:
     ranks = a.join(v, same).groupBy(*(f"a.{k}" for k in keys), "a.share", "a.answer", "a.n", "a.rank_error").agg(F.coalesce(F.sum(below), F.lit(0)).alias("below"), F.sum(upto).alias("upto"))
     off = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("share"), F.col("share") - F.col("upto") / F.col("n"))
     return ranks.select(*keys, "share", "answer", "n", "below", "upto", off.alias("error"), "rank_error")
+
+
+def measured_error(spark: SparkSession, root: str) -> DataFrame:
+    """For the answers of every load, day and all days: the exact range of ranks that each answered value holds, and how far off it is."""
+    keys, values = ["metric", "source", "query"], price_values(spark, root)
+    levels = {"load": [*keys, "day", "load"], "day": [*keys, "day"], "all": keys}
+    answered = written(price_percentiles(spark, root), "answers")
+    out = None
+    for level, names in levels.items():
+        measured = _exact_ranks(values if level != "load" else values.where("load IS NOT NULL"), answered.where(F.col("level") == level), names)
+        missing = [F.lit(None).cast(t).alias(c) for c, t in (("day", "date"), ("load", "string")) if c not in names]
+        measured = measured.select(F.lit(level).alias("level"), "*", *missing)
+        out = measured if out is None else out.unionByName(measured)
+    return out
