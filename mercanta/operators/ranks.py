@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mercanta.runtime import written
+from mercanta.runtime import ranged, written
 
 
 def group_starts(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
@@ -85,7 +85,7 @@ def range_ranks(df: DataFrame, groups: Sequence[str], order: Sequence[str], weig
     columns = [*groups, *order, *ties]
     # groups may come in any order: their hash in front settles most comparisons of the sort
     columns = [F.xxhash64(*groups), *columns] if groups else columns
-    local = written(df.repartitionByRange(*columns).sortWithinPartitions(*columns).mapInArrow(count, schema), "ranks")
+    local = written(ranged(df, *columns).mapInArrow(count, schema), "ranks")
     edges = local.where("_edge").groupBy(*groups, "_part").agg(*(F.max(f"all_{w}").alias(f"all_{w}") for w in weights))
     of_group = Window.partitionBy(*groups)
     before = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

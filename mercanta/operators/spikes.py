@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mercanta.operators.ranks import group_starts, median_of, range_ranks
-from mercanta.runtime import bounded_broadcast, written
+from mercanta.runtime import bounded_broadcast, ranged, written
 
 LEAST, MOST = 0.01, 1_000_000.0
 STEPS, LEAST_SHARE = 6.0, 0.02
@@ -290,8 +290,8 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def source_behaviour(readings: DataFrame) -> DataFrame:
     """Per field and source: the exact median absolute log step between neighbours (mad) and the share of repeats."""
-    ranged = readings.repartitionByRange(*KEYS, "at").sortWithinPartitions(*KEYS, "at")
-    steps = written(ranged.mapInArrow(_steps, "field_name string, source string, series string, at bigint, value double, step double, edge boolean, number bigint"), "steps")
+    in_order = ranged(readings, *KEYS, "at")
+    steps = written(in_order.mapInArrow(_steps, "field_name string, source string, series string, at bigint, value double, step double, edge boolean, number bigint"), "steps")
     series = Window.partitionBy(*KEYS).orderBy("at")
     # two readings a partition: the step between partitions of one series
     border = steps.where("edge").withColumn("step", F.when(F.col("step").isNull(), F.abs(F.ln("value") - F.ln(F.lag("value").over(series)))))
@@ -342,7 +342,7 @@ def implausible(rows: DataFrame, exact: bool = True) -> DataFrame:
 
     def sorted_with(parameters: DataFrame) -> DataFrame:
         ready = readings.join(bounded_broadcast(parameters), ["field_name", "source"])
-        return ready.select(*order, "value", "parameters", "sticky").repartitionByRange(*order).sortWithinPartitions(*order)
+        return ranged(ready.select(*order, "value", "parameters", "sticky"), *order)
 
     expected = sorted_with(started).mapInArrow(_expected, "field_name string, source string, sums array<double>")
     fitted = written(_fitted(started, written(expected, "expected")), "parameters")

@@ -53,6 +53,24 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of stored input for which a range sort makes a partition; what is read grows several times over in memory.
+RANGE_BYTES = 32_000_000
+MOST_RANGES = 50_000
+
+
+def ranged(df: DataFrame, *columns) -> DataFrame:
+    """``df`` sorted by ranges of the columns, in as many parts as the session says or, for large inputs, as its bytes ask for.
+
+    The bytes are those of the tables the plan reads, so a part is bounded however large the input and whatever the session says.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(n for n in sizes if n < 1 << 60)  # rows that came from nowhere have no known size
+    parts = min(MOST_RANGES, size // RANGE_BYTES)
+    named = parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(parts, *columns) if named else df.repartitionByRange(*columns)).sortWithinPartitions(*columns)
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
