@@ -4,7 +4,8 @@ Each source needs a mean number of copies per document; its whole part is taken
 fraction is an inclusion probability. The cube method settles the fractions: probabilities move along
 directions that change neither the total of tokens nor the number of documents until they are 0 or 1.
 Workers move their own documents; the two that each leaves open per source meet in a small last round,
-and what is open then lands on the nearest totals.
+and what is open then lands on the nearest totals. A few settled documents of every worker come along, so that
+what landing leaves over or short in tokens can be made up by exchanging two of them.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from mercanta.llm.tokens import token_counts
 from mercanta.runtime import bounded_broadcast, small_rows, written
 
-_OUT = "mixture_name string, source string, doc_id bigint, tokens bigint, base int, p double"
+_OUT = "mixture_name string, source string, doc_id bigint, tokens bigint, base int, p double, swap boolean"
 _EPS = 1e-9
+#: Settled documents that a worker passes on per mixture and source, and exchanges made at most.
+SWAPS, EXCHANGES = 32, 16
 
 
 def _lanes(tokens: np.ndarray, p: np.ndarray, lanes: int, rng: np.random.Generator) -> np.ndarray:
@@ -88,6 +91,40 @@ def landing(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
+def exchanged(tokens: np.ndarray, p: np.ndarray, want: float) -> np.ndarray:
+    """Settled probabilities changed while that brings the tokens nearer to ``want``: a taken and a left document
+    exchanged, or, where no exchange is as near, a single one taken or left."""
+    p = p.copy()
+    for _ in range(EXCHANGES):
+        short = want - float((p * tokens).sum())
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        left = left[np.argsort(tokens[left], kind="stable")]
+        tries = [(np.abs(short - tokens[left]), None, left), (np.abs(short + tokens[taken]), taken, None)]
+        if len(taken) and len(left):
+            near = np.searchsorted(tokens[left], tokens[taken] + short)
+            for k in (-1, 0):
+                other = left[np.clip(near + k, 0, len(left) - 1)]
+                tries.insert(0, (np.abs(short - (tokens[other] - tokens[taken])), taken, other))
+        rest, out, into = _nearest(tries)
+        if rest >= abs(short):
+            break
+        if out is not None:
+            p[out] = 0.0
+        if into is not None:
+            p[into] = 1.0
+    return p
+
+
+def _nearest(tries: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]) -> tuple[float, int | None, int | None]:
+    """The least distance of all tries, with the document it leaves and the one it takes."""
+    best: tuple[float, int | None, int | None] = (np.inf, None, None)
+    for rest, out, into in tries:
+        if len(rest) and rest.min() < best[0]:
+            i = int(rest.argmin())
+            best = (float(rest[i]), None if out is None else int(out[i]), None if into is None else int(into[i]))
+    return best
+
+
 def plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """(mixture_name, source, target_share, max_repeats, have, copies): mean copies per document for the largest total that no cap forbids.
 
@@ -125,16 +162,22 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFr
                 continue
             base = int(np.floor(r["copies"] + _EPS))
             p = flight(part["tokens"].to_numpy(), np.full(len(part), max(0.0, r["copies"] - base)), rng)
-            out = pa.table({"mixture_name": pa.array([r["mixture_name"]] * len(part)), "source": pa.array([r["source"]] * len(part)), "doc_id": pa.array(part["doc_id"].to_numpy()), "tokens": pa.array(part["tokens"].to_numpy()), "base": pa.array(np.full(len(part), base, dtype=np.int32)), "p": pa.array(p)})
-            yield from out.filter(pa.array((p > 0) | (base > 0))).combine_chunks().to_batches(max_chunksize=20_000)
+            is_open = (p > 0) & (p < 1)
+            swap = np.zeros(len(part), dtype=bool)
+            settled = np.flatnonzero(~is_open)
+            swap[rng.choice(settled, min(SWAPS, len(settled)), replace=False)] = True
+            out = pa.table({"mixture_name": pa.array([r["mixture_name"]] * len(part)), "source": pa.array([r["source"]] * len(part)), "doc_id": pa.array(part["doc_id"].to_numpy()), "tokens": pa.array(part["tokens"].to_numpy()), "base": pa.array(np.full(len(part), base, dtype=np.int32)), "p": pa.array(p), "swap": pa.array(swap)})
+            yield from out.filter(pa.array((p > 0) | (base > 0) | swap)).combine_chunks().to_batches(max_chunksize=20_000)
 
     def land(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tokens"]).reset_index(drop=True)
         t = pdf["tokens"].to_numpy()
-        return pdf.assign(p=landing(t, flight(t, pdf["p"].to_numpy(), np.random.default_rng(seed))))
+        p = pdf["p"].to_numpy()
+        landed = landing(t, flight(t, p, np.random.default_rng(seed)))
+        return pdf.assign(p=exchanged(t, landed, float((p * t).sum())))
 
     moved = written(counts.mapInArrow(settle, _OUT), "moved")
-    is_open = (F.col("p") > 0) & (F.col("p") < 1)
+    is_open = ((F.col("p") > 0) & (F.col("p") < 1)) | F.col("swap")
     landed = moved.where(is_open).groupBy("mixture_name", "source").applyInPandas(land, _OUT)
     chosen = moved.where(~is_open).unionByName(landed).select("mixture_name", "source", "doc_id", "tokens", (F.col("base") + F.round("p").cast("int")).alias("copies")).where("copies > 0")
     return chosen, planned

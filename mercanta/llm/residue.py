@@ -66,6 +66,8 @@ PAGES = [
 #: Words by which a writer speaks of such things instead of showing them: just before the sign, quotes right at it.
 TELLING = r"\b(?:eu|meus?|minhas?|tive|fiz|uso|usei|quando|consegui|imprimi|escrevi|exportei|guardei|digitei|contei|li|curso|disse|diz|aparece|yo|mis?|tuve|dice|my|we|he|she|said|says|counted|had|was|saw)\b|['\"]\s*$"
 
+#: Signs without which no slot pattern matches: a cheap look before the patterns.
+_SLOT_SIGNS = r"[{<\[%$#@*_]|\.[a-z]"
 _SLOT, _SOFT = "|".join(SLOTS), "|".join([*FILLER, *PAGES])
 
 
@@ -84,7 +86,8 @@ def passages(documents: DataFrame) -> DataFrame:
 
 def _masked(text: Column) -> Column:
     """Slots and missing values as one sign, hexadecimal codes and numbers as 0."""
-    text = F.when(text.rlike(f"{_SLOT}|{VOID}"), F.regexp_replace(text, f"{_SLOT}|{VOID}", "§")).otherwise(text)
+    text = F.when(text.rlike(_SLOT_SIGNS) & text.rlike(_SLOT), F.regexp_replace(text, _SLOT, "§")).otherwise(text)
+    text = F.when(text.rlike(VOID), F.regexp_replace(text, VOID, "§")).otherwise(text)
     return F.regexp_replace(F.regexp_replace(text, r"\b(?=[a-f0-9]*\d)[a-f0-9]{4,}\b", "0"), r"\d+", "0")
 
 
@@ -113,7 +116,7 @@ def units_of(distinct: DataFrame) -> DataFrame:
     value stands in its place. A sign that the writer speaks of is none; if another passage of the same text shows it, that one counts.
     """
     p = F.col("passage")
-    signs = distinct.select("passage", p.rlike(_SLOT).alias("slot"), p.rlike(_SOFT).alias("sign"))
+    signs = distinct.select("passage", (p.rlike(_SLOT_SIGNS) & p.rlike(_SLOT)).alias("slot"), p.rlike(_SOFT).alias("sign"))
     before, core = _soft(p)
     told = F.col("sign") & (before.rlike(TELLING) | p.rlike(rf"['\"](?:{_SOFT})"))
     rows = signs.select("passage", "slot", "sign", F.when(F.col("sign"), told).otherwise(False).alias("told"), _masked(p).alias("masked"), F.when(F.col("sign"), _masked(core)).alias("core"))

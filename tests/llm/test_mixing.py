@@ -52,3 +52,18 @@ def test_empty(spark):
     chosen, planned = mixing.mix(_texts(spark, []), targets)
     assert chosen.count() == 0
     assert [(r.reached_share, r.used_tokens) for r in mixing.reached_shares(chosen, planned).collect()] == [(0.0, 0)]
+
+
+def test_exchanges_bring_the_tokens_nearer():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        tokens = rng.integers(1, 3000, 40)
+        p = (rng.random(40) < 0.5).astype(float)
+        want = float((p * tokens).sum()) + float(rng.integers(-2500, 2500))
+        out = mixing.exchanged(tokens, p, want)
+        assert set(np.unique(out)) <= {0.0, 1.0}
+        assert abs(want - (out * tokens).sum()) <= abs(want - (p * tokens).sum())
+    assert mixing.exchanged(np.array([5, 7]), np.array([1.0, 1.0]), 6.0).tolist() == [0.0, 1.0]
+    assert mixing.exchanged(np.array([], dtype=int), np.array([]), 3.0).tolist() == []
+    near = mixing.exchanged(np.arange(1, 101), np.repeat([0.0, 1.0], 50), 3000.0)
+    assert abs((near * np.arange(1, 101)).sum() - 3000) <= 1
