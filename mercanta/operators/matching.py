@@ -97,10 +97,24 @@ def _score(p: str, e: str, ratio: Column, e_price: Column | None = None) -> Colu
 
 
 @F.pandas_udf(T.DoubleType())
-def text_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp ratio of two texts; the JVM has no equal of it."""
-    for left, right in pairs:
-        yield pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def text_ratio(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Ratcliff-Obershelp ratio of two texts; the JVM has no equal of it.
+
+    Where a bound of it (by lengths, then by letters) is under the third argument, the bound is given instead: it doesn't matter then.
+    """
+    for left, right, least in pairs:
+        out, last = [], None
+        matcher = SequenceMatcher(None)
+        for a, b, need in zip(left, right, least):
+            if b != last:  # the second text is indexed once for as many first ones as follow
+                matcher.set_seq2(b)
+                last = b
+            matcher.set_seq1(a)
+            bound = matcher.real_quick_ratio()
+            if bound >= need:
+                bound = matcher.quick_ratio()
+            out.append(matcher.ratio() if bound >= need else bound)
+        yield pd.Series(out, dtype="float64")
 
 
 def matches(products: DataFrame, evidence: DataFrame, most_common: int | None = None) -> DataFrame:
@@ -113,8 +127,10 @@ def matches(products: DataFrame, evidence: DataFrame, most_common: int | None =
     titles = written(titles_of(evidence), "titles")
     c = written(candidates(products, evidence, titles, most_common=most_common), "candidates")
     pairs = c.select("p_key", "title_id").distinct().join(products.alias("p"), F.col("p_key") == F.col("p.key")).join(titles.withColumnRenamed("title_id", "t_id").alias("e"), F.col("title_id") == F.col("e.t_id"))
-    possible = written(pairs.where(_score("p", "e", F.lit(1.0)) >= LEAST_SCORE).select("p_key", "title_id", F.struct("p.*").alias("p"), F.struct("e.*").alias("e")), "possible")
-    rated = written(possible.select("p_key", "title_id", "p", "e", text_ratio("p.norm", "e.norm").alias("ratio")), "rated")
+    pairs = written(pairs.select("p_key", "title_id", F.struct("p.*").alias("p"), F.struct("e.*").alias("e"), _score("p", "e", F.lit(0.0)).alias("low"), _score("p", "e", F.lit(1.0)).alias("high")).where(F.col("high") >= LEAST_SCORE), "possible")
+    # scores are linear in the ratio; both ends are rounded, so the least ratio is taken a little lower
+    least = F.try_divide(LEAST_SCORE - 0.02 - F.col("low"), F.col("high") - F.col("low") + 0.01)
+    rated = written(pairs.sortWithinPartitions("title_id").select("p_key", "title_id", "p", "e", text_ratio("p.norm", "e.norm", F.coalesce(least, F.lit(0.0))).alias("ratio")), "rated")
     scored = c.join(rated, ["p_key", "title_id"]).select("p_key", "e_key", "price", _score("p", "e", F.col("ratio"), F.col("price")).alias("score")).where(F.col("score") >= LEAST_SCORE)
     return top_per_key(scored, ["p_key"], [F.desc("score"), F.desc("price"), F.col("e_key")], MATCHES)
 
