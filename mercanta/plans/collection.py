@@ -114,10 +114,10 @@ def S07_cards(spark, root):
     return cards.select(F.col("page_key").alias("id"), "position", "title", "item_url")
 
 
-@query("""SELECT id, CAST(price AS DOUBLE) AS price, CAST(reviews_count AS BIGINT) AS reviews_count, is_sponsored, CASE WHEN blocked THEN 'captcha' END AS block_reason FROM (
+@query("""SELECT id, CAST(CASE WHEN price >= 0 THEN price END AS DOUBLE) AS price, CAST(reviews_count AS BIGINT) AS reviews_count, is_sponsored, CASE WHEN blocked THEN 'captcha' END AS block_reason FROM (
  SELECT id, price, CASE WHEN reviews_count >= 0 THEN reviews_count END AS reviews_count, coalesce(is_sponsored, false) AS is_sponsored, blocked FROM market_web_listings_raw)""")
 def S15_card_listings(spark, root):
-    """Card texts read as listing columns: price, review count, promotion marks, block reason."""
+    """Card texts read as listing columns: price (a negative one is no price text), review count, promotion marks, block reason."""
     rows = table(spark, root, LISTINGS)
     # a plain text of the row's own values; groups of three digits are marked as the sources mark them
     price = F.concat(F.lit("R$ "), F.translate(F.format_number(F.col("price").cast("double"), 2), ",.", ".,"))
