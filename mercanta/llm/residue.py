@@ -68,7 +68,15 @@ TELLING = r"\b(?:eu|meus?|minhas?|tive|fiz|uso|usei|quando|consegui|imprimi|escr
 
 #: Signs without which no slot pattern matches: a cheap look before the patterns.
 _SLOT_SIGNS = r"[{<\[%$#@*_]|\.[a-z]"
-_SLOT, _SOFT = "|".join(SLOTS), "|".join([*FILLER, *PAGES])
+
+
+def _any(patterns: list[str]) -> str:
+    """One pattern for all; what they begin with in common, a word's edge, is looked for once a place."""
+    words, others = [p[2:] for p in patterns if p.startswith(r"\b")], [p for p in patterns if not p.startswith(r"\b")]
+    return "|".join([*others, r"\b(?:" + "|".join(words) + ")"])
+
+
+_SLOT, _SOFT = _any(SLOTS), _any([*FILLER, *PAGES])
 
 
 def _parts(text: Column) -> Column:
