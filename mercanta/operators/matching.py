@@ -80,8 +80,13 @@ def candidates(products: DataFrame, evidence: DataFrame, titles: DataFrame, most
     return best.join(products.select("p_id", F.col("key").alias("p_key")), "p_id").select("p_key", "title_id", "e_key", "price")
 
 
-def _score(p: str, e: str, ratio: Column, e_price: Column | None = None) -> Column:
-    """Similarity from 0 to 100 of two described rows, given the ratio of their texts; without a price of the evidence, the most it can be."""
+def _is_dear(price: Column, other: Column) -> Column:
+    """Whether evidence costs so much more than a cheap product that it is hardly the same."""
+    return (price < 15) & (other > 20 * price)
+
+
+def _score(p: str, e: str, ratio: Column, dear: Column | None = None) -> Column:
+    """Similarity from 0 to 100 of two described rows, given the ratio of their texts and whether the second is dear (if unsaid: it isn't)."""
     s, t = F.col(f"{p}.tokens"), F.col(f"{e}.tokens")
     generic = F.array(*(F.lit(w) for w in text.GENERIC))
     special = F.array_except(s, generic)
@@ -90,7 +95,7 @@ def _score(p: str, e: str, ratio: Column, e_price: Column | None = None) -> Colu
     base = base + 0.15 * F.least(F.lit(1.0), special_both / F.greatest(F.lit(1), F.least(F.size(special), F.lit(5))))
     models_p, models_e = text.model_tokens(s), text.model_tokens(t)
     apart = F.when(F.size(models_p) == 0, 1.0).when(F.size(models_e) == 0, 0.82).when(F.arrays_overlap(models_p, models_e), 1.0).otherwise(0.35)
-    dear = F.lit(False) if e_price is None else (F.col(f"{p}.price") < 15) & (e_price > 20 * F.col(f"{p}.price"))
+    dear = F.lit(False) if dear is None else dear
     factor = F.when(both < 2, 0.45).otherwise(1.0) * F.when((F.size(special) > 0) & (special_both == 0), 0.72).otherwise(1.0) * apart
     factor = factor * attributes.conflict_penalty(attributes.conflicts(F.col(f"{p}.attrs"), F.col(f"{e}.attrs"))) * F.when(dear, 0.85).otherwise(1.0)
     return F.when(both == 0, 0.0).otherwise(F.round(F.least(F.lit(100.0), 100 * base * factor), 2))
@@ -126,12 +131,18 @@ def matches(products: DataFrame, evidence: DataFrame, most_common: int | None =
     products, evidence = numbered(products), written(evidence.select("key", "price", "norm"), "evidence")
     titles = written(titles_of(evidence), "titles")
     c = written(candidates(products, evidence, titles, most_common=most_common), "candidates")
-    pairs = c.select("p_key", "title_id").distinct().join(products.alias("p"), F.col("p_key") == F.col("p.key")).join(titles.withColumnRenamed("title_id", "t_id").alias("e"), F.col("title_id") == F.col("e.t_id"))
+    # few bytes but much work a pair: the number of parts is given here too
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = c.select("p_key", "title_id").distinct().repartition(parts, "title_id", "p_key").join(products.alias("p"), F.col("p_key") == F.col("p.key")).join(titles.withColumnRenamed("title_id", "t_id").alias("e"), F.col("title_id") == F.col("e.t_id"))
     pairs = written(pairs.select("p_key", "title_id", F.struct("p.*").alias("p"), F.struct("e.*").alias("e"), _score("p", "e", F.lit(0.0)).alias("low"), _score("p", "e", F.lit(1.0)).alias("high")).where(F.col("high") >= LEAST_SCORE), "possible")
     # scores are linear in the ratio; both ends are rounded, so the least ratio is taken a little lower
     least = F.try_divide(LEAST_SCORE - 0.02 - F.col("low"), F.col("high") - F.col("low") + 0.01)
     rated = written(pairs.sortWithinPartitions("title_id").select("p_key", "title_id", "p", "e", text_ratio("p.norm", "e.norm", F.coalesce(least, F.lit(0.0))).alias("ratio")), "rated")
-    scored = c.join(rated, ["p_key", "title_id"]).select("p_key", "e_key", "price", _score("p", "e", F.col("ratio"), F.col("price")).alias("score")).where(F.col("score") >= LEAST_SCORE)
+    # both scores that a row of a title can have are worked out once a title
+    rated = rated.select("p_key", "title_id", F.col("p.price").alias("p_price"), _score("p", "e", F.col("ratio")).alias("usual"), _score("p", "e", F.col("ratio"), F.lit(True)).alias("dear"))
+    rated = written(rated.where(F.col("usual") >= LEAST_SCORE), "scores")
+    score = F.when(_is_dear(F.col("p_price"), F.col("price")), F.col("dear")).otherwise(F.col("usual"))
+    scored = c.join(rated, ["p_key", "title_id"]).select("p_key", "e_key", "price", score.alias("score")).where(F.col("score") >= LEAST_SCORE)
     return top_per_key(scored, ["p_key"], [F.desc("score"), F.desc("price"), F.col("e_key")], MATCHES)
 
 

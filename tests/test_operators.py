@@ -33,7 +33,7 @@ def test_matches_against_brute_force(spark):
     products, evidence = make(left), make(right)
     got = {(r.p_key, r.e_key): r.score for r in matching.matches(products, evidence).collect()}
     pairs = products.alias("p").crossJoin(evidence.alias("e")).select(F.struct("p.*").alias("p"), F.struct("e.*").alias("e"), matching.text_ratio("p.norm", "e.norm", F.lit(0.0)).alias("ratio"))
-    want = {(r.a, r.b): r.s for r in pairs.select(F.col("p.key").alias("a"), F.col("e.key").alias("b"), matching._score("p", "e", F.col("ratio"), F.col("e.price")).alias("s")).collect() if r.s >= matching.LEAST_SCORE}
+    want = {(r.a, r.b): r.s for r in pairs.select(F.col("p.key").alias("a"), F.col("e.key").alias("b"), matching._score("p", "e", F.col("ratio"), matching._is_dear(F.col("p.price"), F.col("e.price"))).alias("s")).collect() if r.s >= matching.LEAST_SCORE}
     assert got == want and got
     details = matching.match_details(matching.matches(products, evidence), most=2).collect()
     assert {r.p_key for r in details} == {p for p, _ in got} and all(1 <= r.details.count("e_key") <= 2 for r in details)
