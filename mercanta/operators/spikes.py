@@ -9,6 +9,7 @@ definition of a spike or a stuck run.
 A series may hold any share of the rows: readings are range-sorted by series and time, so a long series
 spans partitions. A partition settles all readings but those within CONTEXT of where a series may go on
 in the next partition; these, at most 4 x CONTEXT rows a partition, are settled together afterwards.
+Partitions are cut by rows (RANGE_ROWS), so what a Python worker holds doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -290,14 +291,14 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def source_behaviour(readings: DataFrame) -> DataFrame:
     """Per field and source: the exact median absolute log step between neighbours (mad) and the share of repeats."""
-    in_order = ranged(readings, *KEYS, "at")
+    in_order = ranged(readings, *KEYS, "at", rows=readings.count())
     steps = written(in_order.mapInArrow(_steps, "field_name string, source string, series string, at bigint, value double, step double, edge boolean, number bigint"), "steps")
     series = Window.partitionBy(*KEYS).orderBy("at")
     # two readings a partition: the step between partitions of one series
     border = steps.where("edge").withColumn("step", F.when(F.col("step").isNull(), F.abs(F.ln("value") - F.ln(F.lag("value").over(series)))))
     all_steps = steps.where("step IS NOT NULL").select("field_name", "source", "step").unionByName(border.where("step IS NOT NULL").select("field_name", "source", "step"))
     all_steps = written(all_steps.groupBy("field_name", "source", "step").agg(F.count("*").alias("n")), "step-counts")
-    mads = range_ranks(all_steps, ["field_name", "source"], ["step"], ["n"]).groupBy("field_name", "source").agg(median_of("step", "n").alias("mad"), F.sum(F.when(F.col("step") == 0, F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("steps"))
+    mads = range_ranks(all_steps, ["field_name", "source"], ["step"], ["n"], rows=all_steps.count()).groupBy("field_name", "source").agg(median_of("step", "n").alias("mad"), F.sum(F.when(F.col("step") == 0, F.col("n")).otherwise(0)).alias("same"), F.sum("n").alias("steps"))
     return mads.select("field_name", "source", "mad", (F.col("same") / F.col("steps")).alias("repeats"))
 
 
@@ -338,11 +339,11 @@ def implausible(rows: DataFrame, exact: bool = True) -> DataFrame:
     readings = written(rows.groupBy(*KEYS, "at", "outside").agg(F.min("value").alias("value"), F.max("sticky").alias("sticky")), "series")
     behaviour = source_behaviour(readings.where("NOT outside"))
     started = written(_started(readings.select("field_name", "source").distinct().join(behaviour, ["field_name", "source"], "left")), "started")
-    order = [*KEYS, "at", "outside"]
+    order, n = [*KEYS, "at", "outside"], readings.count()
 
     def sorted_with(parameters: DataFrame) -> DataFrame:
         ready = readings.join(bounded_broadcast(parameters), ["field_name", "source"])
-        return ranged(ready.select(*order, "value", "parameters", "sticky"), *order)
+        return ranged(ready.select(*order, "value", "parameters", "sticky"), *order, rows=n)
 
     expected = sorted_with(started).mapInArrow(_expected, "field_name string, source string, sums array<double>")
     fitted = written(_fitted(started, written(expected, "expected")), "parameters")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mercanta.operators import spikes
 
@@ -123,3 +124,23 @@ def test_out_of_range_beside_a_reading_of_the_same_time(spark):
     rows = [r for k in range(5) for r in _rows(f"n{k}", _normal(rnd, 20))]
     rows += [("t", "low", "f", "s", "n0", 3, 0.0, True), ("t", "alone", "f", "other", "x", 1, 2_000_000.0, True), ("t", "null", "f", "s", None, 1, 0.0, True)]
     assert _flags(spark, rows) == {"low": "out_of_range", "alone": "out_of_range"}
+
+
+def test_partitions_are_bounded_by_rows(spark, monkeypatch):
+    """What a Python worker takes at once is bounded by rows, though the stored table is small and the session merges parts."""
+    from mercanta import runtime
+
+    rnd = random.Random(9)
+    monkeypatch.setattr(runtime, "RANGE_ROWS", 200)
+    rows = _rows("hot", _normal(rnd, 3000)) + [r for k in range(100) for r in _rows(f"n{k}", _normal(rnd, 30))]
+    rows[500] = (*rows[500][:6], 300.0, True)
+    sizes, parts = [], runtime.ranged
+
+    def seen(df, *columns, rows=0):
+        out = parts(df, *columns, rows=rows)
+        sizes.append(max(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()))
+        return out
+
+    monkeypatch.setattr(spikes, "ranged", seen)
+    assert _flags(spark, rows)["hot-500"] == "spike"
+    assert len(sizes) == 3 and max(sizes) < 2 * 200
