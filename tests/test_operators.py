@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyspark.sql.functions as F
@@ -153,3 +154,46 @@ def test_stream_appends_once(spark, data, tmp_path):
     once = ingest.deduplicated(ingest.listing_stream(spark, str(tmp_path / "in"), source.schema), "fetched_at", ["id"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.sql("SELECT count(DISTINCT id) = count(*) AS ok FROM once").first().ok
+
+
+def test_ratio_is_that_of_difflib():
+    rnd = random.Random(5)
+    texts = ["", "a", "abcabc", "x" * 250, "ab" * 120] + ["".join(rnd.choice("abc 1") for _ in range(rnd.randrange(1, 90))) for _ in range(120)]
+    for a in texts[:40]:
+        for b in texts:
+            assert matching._ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+
+
+def _token_sides(spark, n_products, n_titles):
+    rnd = random.Random(8)
+    common, rare = [f"com{i}" for i in range(9)], [f"rare{i}x" for i in range(200)]
+    title = lambda: " ".join(rnd.sample(common, rnd.randrange(0, 6)) + rnd.sample(rare, rnd.randrange(1, 4)))
+    left, right = [(f"p{i}", title(), 1.0) for i in range(n_products)], [(f"e{i:04}", title(), 1.0) for i in range(n_titles)]
+    left, right = left + [("again", left[0][1], 9.0)], right + [(f"f{i:04}", right[i % 7][1], 2.0) for i in range(90)]
+    make = lambda r: matching.described(spark.createDataFrame(r, "id string, t string, price double"), "id", "t", "price")
+    return left, right, make(left), make(right)
+
+
+def test_blocks_give_what_brute_force_gives(spark, monkeypatch):
+    """Overlaps, partners and the cut, with several blocks and chunks, common and rare tokens, and products of one title."""
+    left, right, products, evidence = _token_sides(spark, 40, 700)
+    monkeypatch.setattr(matching, "BLOCK_TITLES", 250)
+    monkeypatch.setattr(matching, "CHUNK_PRODUCTS", 15)
+    most_common = 330
+    n = Counter(t for _, title, _ in right for t in set(title.split()))
+    shared = {}
+    for p, title, _ in left:
+        tokens = title.split()
+        for e, other, _ in right:
+            both = [i for i, t in enumerate(tokens) if t in other.split() and n[t] <= most_common]
+            if both:
+                shared.setdefault(p, []).append((-len(both), both[0], e))
+    numbered = matching.numbered(products)
+    assert numbered.select("p_id").distinct().count() == len({t for _, t, _ in left})
+    titles = matching.written(matching.titles_of(evidence), "titles")
+    counts = matching.partner_counts(numbered, titles, most_common).join(numbered, "p_id").collect()
+    assert {r.key: (r.best_overlap, r.partners) for r in counts} == {p: (-min(x)[0], len(x)) for p, x in shared.items()}
+    got = {}
+    for r in matching.candidates(numbered, evidence, titles, most=50, most_common=most_common).collect():
+        got.setdefault(r.p_key, set()).add(r.e_key)
+    assert got == {p: {e for *_, e in sorted(x)[:50]} for p, x in shared.items()}
